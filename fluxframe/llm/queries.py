@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, mtree, pii, spm, toxicity
+from . import langid, licenses, media, mixing, mtree, ngram_join, pii, spm, suffix_dedup, toxicity
 from .common import held_out, table
 
 
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(mtree.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
@@ -44,8 +52,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(docs, pii.train(docs))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"), ngram_join.Params(n=3, percent=90))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mixing, op5_media_columns, op6_sentencepiece, op8_exact_topk, op9_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_mixing, op4_suffix_array_dedup, op5_media_columns, op6_sentencepiece, op7_license_scan, op8_exact_topk, op9_pii, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
