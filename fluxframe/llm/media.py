@@ -220,22 +220,23 @@ def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
     prepare(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
-    def run(pdfs):
-        import pandas as pd
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 
-        for pdf in pdfs:
-            rows = []
-            for k, data in zip(pdf["key"], pdf["data"]):
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, data in enumerate(b.column(1).to_pylist()):
                 if data is None:
                     continue
                 try:
-                    rows += [(k, i, t.codec, t.duration / max(t.timescale, 1), t.key_ranges(), None) for i, t in enumerate(probe(bytes(data)))]
+                    found = [(n, t.codec, t.duration / max(t.timescale, 1), [{"offset": x, "size": y} for x, y in t.key_ranges()], None) for n, t in enumerate(probe(bytes(data)))]
                 except (ValueError, struct.error) as e:
-                    rows.append((k, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["key", "track", "codec", "seconds", "keyframes", "error"])
-            out["track"] = out["track"].astype("Int32")
-            out["keyframes"] = [None if x is None else [{"offset": a, "size": s} for a, s in x] for x in out["keyframes"]]
-            yield out
-
-    out = df.selectExpr(f"`{key}` AS key", f"`{column}` AS data").mapInPandas(run, f"key {kind}, track int, codec string, seconds double, keyframes array<struct<offset:long,size:long>>, error string")
+                    found = [(None, None, None, None, str(e))]
+                at += [i] * len(found)
+                rows += found
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int32(), pa.string(), pa.float64(), ranges, pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["key", "track", "codec", "seconds", "keyframes", "error"])
+
+    out = df.selectExpr(f"`{key}` AS key", f"`{column}` AS data").mapInArrow(run, f"key {kind}, track int, codec string, seconds double, keyframes array<struct<offset:long,size:long>>, error string")
     return out.withColumnRenamed("key", key)

@@ -117,6 +117,12 @@ def base_spans(text: str) -> list[Span]:
     return [(k, a, b) for k, spans in zip(KINDS, found) for a, b in spans]
 
 
+def dropped_spans(text: str) -> list[tuple[int, int]]:
+    """Matches with too many digits: numbers that stand side by side and that the patterns ran together."""
+    long = lambda m, most: len(NOT_DIGIT.sub("", m.group())) > most
+    return [m.span() for r, most in ((CARD, 19), (PHONE, 15)) for m in r.finditer(text) if long(m, most)]
+
+
 @dataclass
 class Graph:
     tokens: list[tuple[int, int]]  # spans without outer punctuation
@@ -268,8 +274,15 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         for b in batches:
             seen: dict[tuple[str, int, int], int] = {}
             for t in strings(b, "text"):
-                g = graph(t, base_spans(t))
-                for what, pairs in (("node", zip(g.features.tolist(), g.label.tolist())), ("chain", [(g.label[i], g.label[j]) for i, j in g.chain]), ("skip", [(g.label[i], g.label[j]) for i, j in g.skip])):
+                base = base_spans(t)
+                g = graph(t, base)
+                # What the patterns ran together is no example of anything.
+                bad = dropped_spans(t) if len(g.tokens) else []
+                ok = [not any(a < y and x < b for x, y in bad) for a, b in g.tokens]
+                g.chain = [(i, j) for i, j in g.chain if ok[i] and ok[j]]
+                g.skip = [(i, j) for i, j in g.skip if ok[i] and ok[j]]
+                nodes = zip(g.features[ok].tolist(), g.label[ok].tolist()) if ok else ()
+                for what, pairs in (("node", nodes), ("chain", [(g.label[i], g.label[j]) for i, j in g.chain]), ("skip", [(g.label[i], g.label[j]) for i, j in g.skip])):
                     for x, y in pairs:
                         key = (what, int(x), int(y))
                         seen[key] = seen.get(key, 0) + 1
@@ -285,7 +298,9 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
                 c[r["x"], r["y"]] += r["n"]
         c = c + c.T if what == "skip" else c
         joint = c / c.sum()
-        return np.clip(np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)), -3, 3)
+        # The patterns run neighbouring numbers together and drop them, so that two kinds are never seen side by side;
+        # what is rare among base labels therefore counts little against a pair.
+        return np.clip(np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)), -0.5, 3)
 
     node = [(r["x"], r["y"], r["n"]) for r in rows if r["what"] == "node"]
     w = np.zeros((N_FEATURES, k))
@@ -293,13 +308,15 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     if node:
         x = ((np.array([a for a, _, _ in node])[:, None] >> np.arange(N_FEATURES)) & 1).astype(float)
         y = np.eye(k)[[b for _, b, _ in node]]
-        c = np.sqrt(np.array([n for _, _, n in node], float))
-        c /= c.sum()
-        for _ in range(3000):
+        c = np.sqrt(np.array([n for _, _, n in node], float))[:, None]
+        seen = np.full_like(w, 1e-6)  # steps shrink with the gradients that a weight has had, so rare features learn too
+        for _ in range(1500):
             z = x @ w
             q = np.exp(z - z.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
-            w += 2.0 * (x.T @ ((y - q) * c[:, None]) - 1e-4 * w)
+            grad = x.T @ ((y - q) * c) - 0.05 * w
+            seen += grad * grad
+            w += 0.5 * grad / np.sqrt(seen)
     return Model(w, pair("chain"), pair("skip"))
 
 
