@@ -129,9 +129,14 @@ def is_null_mask(c: Column, one=1.0, zero=0.0) -> Column:
     return F.when(c.isNull(), F.lit(one)).otherwise(F.lit(zero))
 
 
+def _whole(n: int) -> Column:
+    """A literal of any size."""
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def _bounded(x: Column, lo: int, hi: int) -> Column:
     wide = x.cast("decimal(38,0)")
-    return F.greatest(F.least(wide, F.lit(hi).cast("decimal(38,0)")), F.lit(lo).cast("decimal(38,0)"))
+    return F.greatest(F.least(wide, _whole(hi)), _whole(lo))
 
 
 def saturating_cast(c, dtype: str, from_float: bool = False) -> Column:
@@ -146,7 +151,7 @@ def saturating_cast(c, dtype: str, from_float: bool = False) -> Column:
     if not from_float:
         return _bounded(c, lo, hi).cast(t)
     x = c.cast("double")
-    inside = F.when(F.isnan(x), F.lit(0)).when(x >= float(hi), F.lit(hi).cast("decimal(38,0)")).when(x <= float(lo), F.lit(lo).cast("decimal(38,0)"))
+    inside = F.when(F.isnan(x), F.lit(0)).when(x >= float(hi), _whole(hi)).when(x <= float(lo), _whole(lo))
     # The cast sees only values that fit, whatever order the optimizer evaluates the branches in.
     fits = F.when((x < float(hi)) & (x > float(lo)), x)
     return propagate(F.coalesce(inside, F.when(fits >= 0, F.floor(fits)).otherwise(F.ceil(fits)).cast("decimal(38,0)")).cast(t), c)
@@ -155,9 +160,9 @@ def saturating_cast(c, dtype: str, from_float: bool = False) -> Column:
 def wrapping_cast(c, dtype: str) -> Column:
     """Integer to integer, keeping the low bits."""
     lo, hi = RANGES[dtype]
-    span = F.lit(hi - lo + 1).cast("decimal(38,0)")
+    span = _whole(hi - lo + 1)
     x = _col(c).cast("decimal(38,0)")
-    return (F.pmod(x - F.lit(lo).cast("decimal(38,0)"), span) + F.lit(lo).cast("decimal(38,0)")).cast(spark_type(dtype))
+    return (F.pmod(x - _whole(lo), span) + _whole(lo)).cast(spark_type(dtype))
 
 
 def as_cast(c, source: str, dtype: str) -> Column:

@@ -86,7 +86,7 @@ def test_keep_one(spark):
 
 def test_edges(docs, none):
     assert N.component_ids(none).count() == 0 and N.keep_one(none).count() == 0
-    got = {r.doc_id: r.component_id for r in N.component_ids(docs, N.Params(n=3, percent=90)).collect()}
+    got = {r.doc_id: r.component_id for r in N.component_ids(docs, N.Params(n=3, percent=80)).collect()}
     assert got[8] == got[9] == 8 and got[4] == got[10] == 4 and got[2] == 2
 
 

@@ -148,6 +148,6 @@ def test_micro_batches(spark, tmp_path):
     s = streams.read_files(spark, src, spark.read.parquet(src).schema, files_per_batch=1)
     out = spark.read.parquet(streams.to_parquet(streams.ema(s.select("event_id", "k", "value"), "k", "event_id", "value", 0.5), str(tmp_path / "out"), "append"))
     assert [r["ema"] for r in out.orderBy("event_id").collect()] == [0.0, 5.0, 12.5]
-    w = streams.tumbling_window(streams.event_time(s, "ts", "30 minutes"), "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
+    w = streams.tumbling_window(streams.event_time(s, "ts", "0 minutes"), "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
     closed = spark.read.parquet(streams.to_parquet(w, str(tmp_path / "out2"), "append"))
     assert closed.count() == 2  # the last window is still open
