@@ -6,15 +6,15 @@ classes are joined:
 1. A table of counts over all texts' shingles (a fixed number of hashed cells) orders shingles, rare ones first.
 2. A class's prefix is its first n - ceil(percent/100 * n) + 1 shingles in that order; linked classes share one of them.
    Only prefix shingles of two or more classes go on (counted with map-side combining), so most rows end here.
-3. Classes that agree in a few minimum hashes are compared with the least of their group first. Verified, these links
-   give preliminary components, which let a large group of near copies be joined by as many links as it has members.
+3. Classes that agree in a few minimum hashes are compared with one of their group first, and those left apart with a
+   few more. Verified, these links give preliminary components, which let a large group of near copies be joined by as many links as it has members.
 4. Within each shared prefix shingle, the pairs of classes from different preliminary components that pass the length
    and positional filters are kept, each once; a suffix filter bounds their overlap from counts in 32 hashed parts; what
    is left is verified on the whole sets. Skipping pairs inside a component cannot change any component.
 5. Components come from alternating stars, and every row gets the smallest doc_id of its component.
 
-The sets that verification needs are made anew from the texts of classes named by a Bloom filter of fixed size, so they
-are never stored for all texts.
+The sets that verification needs are made anew from the texts of the classes in filtered pairs, named by a Bloom filter of
+fixed size, so they are never stored for all texts.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing, and is its own component; texts of any
 length are read whole; ties in the order are broken by hash; repeated rows and equal ids are rows of one class and each
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, settle, strings
 from .components import components
-from .shingles import gathered, mix, sets, signature
+from .shingles import PLACE, gathered, mix, sets, signature
 
 PARTS = 32
 
@@ -43,8 +43,9 @@ class Params:
     n: int = 5
     percent: int = 80
     order_bits: int = 21  # cells of the table of counts
-    bloom_bits: int = 25  # of the filter that names the texts to read again
+    bloom_bits: int = 26  # of the filter that names the texts to read again
     bands: int = 4  # of two minimum hashes each
+    rounds: int = 8  # in which a group of equal minimum hashes gets a new class to compare with
 
 
 def _overlap(p: Params, a: str, b: str) -> str:
@@ -65,23 +66,25 @@ def _order(docs: DataFrame, p: Params) -> np.ndarray:
 
 
 def _base(docs: DataFrame, p: Params) -> DataFrame:
-    """tag, doc_id, n, sig, prefix (shingles, rarest first), parts (counts by hashed part), bands."""
+    """tag, doc_id, n, sig, common (mean logarithm of its shingles' counts), prefix (shingles, rarest first), parts (counts
+    by hashed part), bands."""
     shared = docs.sparkSession.sparkContext.broadcast(_order(docs, p))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         rank = shared.value
         for b in batches:
-            n, sig, prefix, parts, bands = [], [], [], [], []
+            n, sig, common, prefix, parts, bands = [], [], [], [], [], []
             for s in sets(strings(b, "text"), p.n):
                 n.append(len(s))
                 if not len(s):
-                    sig.append(None), prefix.append(s), parts.append(s), bands.append(s)
+                    sig.append(None), common.append(0), prefix.append(s), parts.append(s), bands.append(s)
                     continue
                 sig.append(signature(s))
                 u = s.view(np.uint64)
                 k = len(s) + 1 - (p.percent * len(s) + 99) // 100
                 r = rank[(u >> np.uint64(64 - p.order_bits)).astype(np.int64)]
+                common.append(int(r.sum(dtype=np.int64)) * 1000 // len(s))
                 last = np.partition(r, k - 1)[k - 1]
                 near = np.flatnonzero(r <= last)
                 prefix.append(s[near[np.lexsort((s[near], r[near]))[:k]]])
@@ -89,26 +92,69 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
                 low = [int(mix(u ^ np.uint64(0xA5A5A5A5 * (i + 1))).min()) for i in range(2 * p.bands)]
                 bands.append(np.array([hash((i, low[2 * i], low[2 * i + 1])) for i in range(p.bands)], np.int64))
             lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in xs])).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *xs]).astype(t))) for xs, t in ((prefix, np.int64), (parts, np.int32), (bands, np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *lists], ["tag", "doc_id", "n", "sig", "prefix", "parts", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(common, pa.int64()), *lists], ["tag", "doc_id", "n", "sig", "common", "prefix", "parts", "bands"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text")
-    return settle(rows.mapInArrow(run, f"tag long, doc_id {kind}, n long, sig binary, prefix array<long>, parts array<int>, bands array<long>"))
+    return settle(rows.mapInArrow(run, f"tag long, doc_id {kind}, n long, sig binary, common long, prefix array<long>, parts array<int>, bands array<long>"))
 
 
-def _bloom_cells(sig: np.ndarray, bits: int) -> np.ndarray:
-    """Four cells of each signature, given as pairs of uint64."""
-    return np.stack([mix(sig[:, 0] + np.uint64(i) * sig[:, 1]) >> np.uint64(64 - bits) for i in range(4)], 1).astype(np.int64)
+def _cells(key: np.ndarray, bits: int) -> np.ndarray:
+    """Four cells of each key (uint64)."""
+    return np.stack([mix(key + PLACE[i]) >> np.uint64(64 - bits) for i in range(4)], 1).astype(np.int64)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """sig, set of the wanted signatures, once each; texts are read again and most stop at a Bloom filter."""
+def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2**bits bits of one long column."""
 
     def fill(out: np.ndarray, b: pa.RecordBatch) -> None:
-        sig = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(-1, 2)
-        at = _bloom_cells(sig, p.bloom_bits).ravel()
+        at = _cells(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits).ravel()
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    shared = docs.sparkSession.sparkContext.broadcast(gathered(wanted.select("sig"), 1 << (p.bloom_bits - 3), "u1", fill, "or"))
+    return gathered(keys, 1 << (bits - 3), "u1", fill, "or")
+
+
+def _in_bloom(bits_: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    at = _cells(key.view(np.uint64), bits)
+    return ((bits_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+
+
+def _live(reps: DataFrame, p: Params) -> DataFrame:
+    """token, node, n, pos: prefix shingles of two or more classes.
+
+    Tokens are counted with map-side combining; a Bloom filter of the shared ones, of fixed size, keeps most others from
+    being shuffled again, and a join removes what it lets through.
+    """
+    tokens = reps.select("node", F.explode("prefix").alias("token"))
+    shared = settle(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"))
+    bits = reps.sparkSession.sparkContext.broadcast(_bloom(shared, p.bloom_bits))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            ok = _in_bloom(bits.value, flat, p.bloom_bits) if len(flat) else np.zeros(0, bool)
+            row = np.repeat(np.arange(b.num_rows), sizes)[ok]
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[ok]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), b.column(0).take(at), b.column(1).take(at), pa.array(pos.astype(np.int32))], ["token", "node", "n", "pos"])
+
+    near = reps.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n long, pos int")
+    return settle(near.join(shared, "token", "left_semi"))
+
+
+def _head(sig: str):
+    """The first eight bytes of a signature as a long."""
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long").alias("head")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """sig, set of the wanted signatures, once each; texts are read again and most stop at a Bloom filter."""
+
+    wanted = settle(wanted)
+    if wanted.isEmpty():
+        return docs.sparkSession.createDataFrame([], "node long, set array<long>")
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select(_head("sig")), p.bloom_bits))
 
     def run(batches):
         bits = shared.value
@@ -118,8 +164,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
             if not got:
                 continue
             sigs = [signature(s) for s in got]
-            at = _bloom_cells(np.frombuffer(b"".join(sigs), "<u8").reshape(-1, 2), p.bloom_bits)
-            hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+            hit = _in_bloom(bits, np.frombuffer(b"".join(x[:8] for x in sigs), ">i8").astype(np.int64), p.bloom_bits)
             out = []
             for h, sig, s in zip(hit, sigs, got):
                 if h and sig not in done:
@@ -131,8 +176,49 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(s) for _, s in out])).astype(np.int32), pa.array(np.concatenate([s for _, s in out])))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), lists], ["sig", "set"])
 
-    found = docs.select("text").mapInArrow(run, "sig binary, set array<long>")
-    return found.join(wanted.select("sig", "node"), "sig").dropDuplicates(["node"]).select("node", "set")
+    # The exchange by signature serves both the removal of repeated sets and the join.
+    found = docs.select("text").mapInArrow(run, "sig binary, set array<long>").dropDuplicates(["sig"])
+    return found.join(wanted.select("sig", "node"), "sig").select("node", "set")
+
+
+def _fits(p: Params) -> str:
+    """The suffix filter over na, ha, nb, hb: counts in hashed parts leave room for the overlap that a link needs."""
+    return f"aggregate(zip_with(ha, hb, (x, y) -> least(x, y)), 0, (s, x) -> s + x) >= {_overlap(p, 'na', 'nb')}"
+
+
+def _bounded(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """The pairs that pass the suffix filter."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    info = settle(reps.select("node", "n", "parts").join(settle(nodes), "node", "left_semi"))
+    a, b = (info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"h{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_fits(p)).select("a", "b")
+
+
+def _stars(reps: DataFrame, p: Params) -> DataFrame:
+    """a, b, round: in each group of equal minimum hashes, each class with the one of the most common shingles, which among
+    near copies is the least altered, then with the second, and so on for p.rounds rounds; only pairs that the suffix
+    filter lets through."""
+    bands = reps.select("node", F.explode("bands").alias("band"))
+    many = settle(bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band"))
+    bands = settle(bands.join(many, "band", "left_semi"))
+    info = settle(reps.select("node", "n", "common", "parts").join(settle(bands.select("node").distinct()), "node", "left_semi"))
+    rows = settle(bands.join(info, "node"))
+    found = reps.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("round")).where("false")
+    for i in range(p.rounds):
+        least = settle(rows.groupBy("band").agg(F.count("*").alias("k"), F.max(F.struct("common", "node", "n", "parts")).alias("m")).where("k > 1").select("band", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.parts").alias("ha")))
+        if least.isEmpty():
+            break
+        pairs = rows.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("parts").alias("hb")).join(least, "band").where("a <> b")
+        pairs = settle(pairs.withColumn("fits", F.expr(_fits(p))))
+        found = found.union(pairs.where("fits").select("a", "b", F.lit(i)))
+        rows = pairs.select("band", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("common"), F.col("hb").alias("parts"))
+    return settle(found.groupBy("a", "b").agg(F.min("round").alias("round")))
+
+
+def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, sig of the classes in pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return reps.select("node", "sig").join(nodes, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, p: Params) -> DataFrame:
@@ -153,22 +239,21 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     base = _base(docs, p)
     classes = settle(base.where("n > 0").groupBy("sig").agg(F.min("tag").alias("node")))
     reps = base.join(classes.select(F.col("node").alias("tag")), "tag", "left_semi").withColumnRenamed("tag", "node")
-    reps = settle(reps.select("node", "n", "sig", "prefix", "parts", "bands"))
+    reps = settle(reps.select("node", "n", "sig", "common", "prefix", "parts", "bands"))
 
-    tokens = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    live = settle(tokens.join(settle(shared), "token", "left_semi"))
-
-    bands = reps.select("node", "n", F.explode("bands").alias("band"))
-    leaders = settle(bands.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").select("band", "a"))
-    stars = bands.select(F.col("node").alias("b"), "band").join(leaders, "band").where("a <> b").select("a", "b").distinct()
-    stars = settle(stars)
-
-    wanted = live.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
-    wanted = settle(reps.select("node", "sig").join(wanted, "node", "left_semi"))
-    whole = settle(_sets_of(docs, wanted, p))
-    first = settle(_verified(stars, whole, p))
+    live = _live(reps, p)
+    stars = _stars(reps, p)
+    whole = settle(_sets_of(docs, _named(stars, reps), p))
+    first = settle(_verified(stars.where("round = 0"), whole, p))
+    rough = settle(components(first))
+    # Later rounds join what the first has left apart, in groups whose first class is not near to all.
+    apart = stars.where("round > 0")
+    for x in "ab":
+        apart = apart.join(rough.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    apart = settle(apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    first = settle(first.union(_verified(apart, whole, p)))
     rough = settle(components(first))
+    stars = stars.where("round = 0").select("a", "b").union(apart)
 
     rows = settle(live.join(rough, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp")))
     # By shingle and component first: what lies within one component goes no further.
@@ -176,7 +261,10 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     crossing = groups.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     groups = settle(groups.join(settle(crossing), "token", "left_semi"))
     l, r = groups.alias("l"), groups.alias("r")
-    meet = l.join(r, F.expr(f"l.token = r.token AND l.comp < r.comp AND 100 * l.most >= {p.percent} * r.least AND 100 * r.most >= {p.percent} * l.least"))
+    # The length and positional filters, as far as a component's least and most allow.
+    length = f"100 * l.most >= {p.percent} * r.least AND 100 * r.most >= {p.percent} * l.least"
+    positional = f"1 + least(l.most - l.pos - 1, r.most - r.pos - 1) >= {_overlap(p, 'l.least', 'r.least')}"
+    meet = l.join(r, F.expr(f"l.token = r.token AND l.comp < r.comp AND {length} AND {positional}"))
     meet = settle(meet.select("l.token", F.col("l.comp").alias("ca"), F.col("r.comp").alias("cb")))
     a = rows.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = rows.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
@@ -185,13 +273,9 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     positional = f"1 + least(na - pa - 1, nb - pb - 1) >= {_overlap(p, 'na', 'nb')}"
     pairs = meet.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(f"{length} AND {positional}")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = settle(pairs)
-    parts = reps.select("node", "n", "parts")
-    bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(parts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("ha")), "a").join(parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("hb")), "b")
-    pairs = pairs.withColumn("bound", bound).where(f"bound >= {_overlap(p, 'na', 'nb')}").select("a", "b")
-    pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"))
-    second = settle(_verified(pairs, whole, p))
+    pairs = settle(_bounded(settle(pairs), reps, p).join(stars, ["a", "b"], "left_anti"))
+    more = settle(_sets_of(docs, _named(pairs, reps).join(whole.select("node"), "node", "left_anti"), p))
+    second = settle(_verified(pairs, whole.union(more), p))
     return base.select("tag", "doc_id", "n", "sig"), classes, first.union(second)
 
 
