@@ -9,7 +9,7 @@ classes are joined:
 3. Classes that agree in a few minimum hashes are compared with one of their group first, and those left apart with a
    few more. Verified, these links give preliminary components, which let a large group of near copies be joined by as many links as it has members.
 4. Within each shared prefix shingle, the pairs of classes from different preliminary components that pass the length
-   and positional filters are kept, each once; a suffix filter bounds their overlap from counts in 32 hashed parts; what
+   and positional filters are kept, each once; their common prefix shingles are counted, a suffix filter bounds their overlap by counts in hashed parts; what
    is left is verified on the whole sets. Skipping pairs inside a component cannot change any component.
 5. Components come from alternating stars, and every row gets the smallest doc_id of its component.
 
@@ -215,6 +215,19 @@ def _stars(reps: DataFrame, p: Params) -> DataFrame:
     return settle(found.groupBy("a", "b").agg(F.min("round").alias("round")))
 
 
+def _counted(pairs: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """The pairs a, b, na, nb that share enough prefix shingles.
+
+    What is shared beyond the prefixes lies behind the one whose last shingle comes first in the order, so the overlap is
+    at most the prefix shingles in common and what that text has left: the positional filter, over the whole prefix.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    rows = settle(rows.select("node", "token").join(nodes, "node", "left_semi"))
+    both = pairs.join(rows.withColumnRenamed("node", "a"), "a").join(rows.withColumnRenamed("node", "b"), ["b", "token"])
+    rest = f"(({p.percent} * greatest(na, nb) + 99) div 100 - 1)"
+    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m")).where(f"m + {rest} >= {_overlap(p, 'na', 'nb')}").select("a", "b")
+
+
 def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """node, sig of the classes in pairs."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -223,13 +236,31 @@ def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, whole: DataFrame, p: Params) -> DataFrame:
     """The pairs a, b that link, each checked once on whole sets."""
-    a = whole.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    b = whole.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    # Only sets that a side needs are dealt out; the joins by the same key need no further exchange.
+    a, b = (whole.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     out = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("both", both)
     return out.where(f"100 * both >= {p.percent} * (size(sa) + size(sb) - both)").select("a", "b", "both")
 
 
+def _representatives(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """One row of each class, named by its tag. Rows that a Bloom filter of the other rows' tags does not know stay where
+    they are; only those that it knows are joined."""
+    copies = base.select("tag", "sig").join(classes.where("k > 1"), "sig").where("tag <> node").select("tag")
+    bits = base.sparkSession.sparkContext.broadcast(_bloom(copies, p.bloom_bits))
+    rows = base.where("n > 0").select(F.col("tag").alias("node"), "n", "sig", "common", "prefix", "parts", "bands")
+
+    def known(want: bool):
+        def run(batches):
+            for b in batches:
+                hit = _in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False), p.bloom_bits)
+                yield b.filter(pa.array(hit == want))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return known(False).unionAll(known(True).join(classes.select("node"), "node", "left_semi"))
+
+
 def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): rows tag, doc_id, n, sig of docs; classes sig, node; verified links a, b between nodes.
 
@@ -237,9 +268,8 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     """
     prepare(docs.sparkSession)
     base = _base(docs, p)
-    classes = settle(base.where("n > 0").groupBy("sig").agg(F.min("tag").alias("node")))
-    reps = base.join(classes.select(F.col("node").alias("tag")), "tag", "left_semi").withColumnRenamed("tag", "node")
-    reps = settle(reps.select("node", "n", "sig", "common", "prefix", "parts", "bands"))
+    classes = settle(base.where("n > 0").groupBy("sig").agg(F.min("tag").alias("node"), F.count("*").alias("k")))
+    reps = settle(_representatives(base, classes, p))
 
     live = _live(reps, p)
     stars = _stars(reps, p)
@@ -257,9 +287,9 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
 
     rows = settle(live.join(rough, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp")))
     # By shingle and component first: what lies within one component goes no further.
-    groups = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
-    crossing = groups.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    groups = settle(groups.join(settle(crossing), "token", "left_semi"))
+    crossing = settle(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"))
+    rows = settle(rows.join(crossing, "token", "left_semi"))
+    groups = settle(rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos")))
     l, r = groups.alias("l"), groups.alias("r")
     # The length and positional filters, as far as a component's least and most allow.
     length = f"100 * l.most >= {p.percent} * r.least AND 100 * r.most >= {p.percent} * l.least"
@@ -272,6 +302,7 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     # On the row of a pair's first common shingle nothing before it is shared, so this bound holds there.
     positional = f"1 + least(na - pa - 1, nb - pb - 1) >= {_overlap(p, 'na', 'nb')}"
     pairs = meet.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(f"{length} AND {positional}")
+    pairs = settle(_counted(settle(pairs.select("a", "b", "na", "nb").distinct()), rows, p))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = settle(_bounded(settle(pairs), reps, p).join(stars, ["a", "b"], "left_anti"))
     more = settle(_sets_of(docs, _named(pairs, reps).join(whole.select("node"), "node", "left_anti"), p))
