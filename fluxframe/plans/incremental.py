@@ -101,8 +101,9 @@ class Incremental:
     Window nodes give (column, aggregate, half) as `rolling`. Nodes whose mapping blocks are recomputed as a whole.
     """
 
-    def __init__(self, source: DataFrame, nodes: list[Node], chunk_size: int = 256, na_threshold: float = 0.5, max_warnings: int = 1000):
-        self.size, self.na_threshold, self.max_warnings = chunk_size, na_threshold, max_warnings
+    def __init__(self, source: DataFrame, nodes: list[Node], chunk_size: int = 256, na_threshold: float = 0.5, max_warnings: int = 1000, max_layers: int = 8):
+        self.size, self.na_threshold, self.max_warnings, self.max_layers = chunk_size, na_threshold, max_warnings, max_layers
+        self._layers = 0  # runs since the result was last written as a whole
         self.source, self.nodes = source, nodes
         self.inputs = [c for c in source.columns if c != ROW]
         self.graph = Graph()
@@ -196,11 +197,17 @@ class Incremental:
         else:
             near = chunks.select(F.explode(F.sequence(F.greatest(F.col(CHUNK) - F.lit(-(-reach // self.size)), F.lit(0)), F.col(CHUNK) + F.lit(-(-reach // self.size)))).alias(CHUNK)).distinct()
             new = rows_of(self.evaluate(rows_of(self.source, near, self.size)), chunks, self.size)
+        new = materialise(new)
         self._failures(new, chunks)
         self.recomputed = new
-        keep = self.result if self.result is not None and not self._all else None
-        out = new if keep is None else replace_chunks(keep.select(*new.columns), new, chunks, self.size)
-        self.result = materialise(out)
+        if self.result is None or self._all:
+            self.result, self._layers = new, 0
+        else:
+            # Only the new chunks are written; older ones stay where they are until the layers are merged.
+            self.result = replace_chunks(self.result.select(*new.columns), new, chunks, self.size)
+            self._layers += 1
+            if self._layers >= self.max_layers:
+                self.result, self._layers = materialise(self.result), 0
         self.source = self.result.select(*self.source.columns)
         self._dirty, self._all = None, False
         return self.result

@@ -93,7 +93,7 @@ def same(a, b):
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(start=st.integers(0, 380), length=st.integers(1, 40), grow=st.integers(0, 50))
 def test_incremental_equals_full(spark, start, length, grow):
-    inc = Incremental(prices(spark, 400), nodes(), chunk_size=64)
+    inc = Incremental(prices(spark, 400), nodes(), chunk_size=64, max_layers=1 + grow % 2)
     inc.run()
     changed = inc.source.where(F.col(ROW).between(start, start + length)).withColumn("price", F.col("price") * 7 + 1)
     inc.mutate(changed)
