@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -40,12 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What settle() writes within, unless lasting, is deleted at the end. Nothing that is used later may read it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -134,11 +134,23 @@ def plan(narrow: DataFrame, p: Params = Params()) -> Plan:
     return Plan(blocks, edges, sources, float(sum(targets)))
 
 
+BROADCAST_ROWS = 1_000_000  # of narrow rows, at most
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written, and broadcast if its rows are counted to be few; otherwise joins shuffle."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def decide(rows: DataFrame, x: Plan) -> DataFrame:
-    """keyed() rows with mix_shards: the shards that take the row, one for each time; empty if none does."""
-    same = lambda side, *more: F.expr(" AND ".join(["l.mix_source <=> r.mix_source", *(f"l.{c} = r.{c}" for c in more)]))
-    out = rows.alias("l").join(x.blocks.alias("r"), same("r", "mix_b1"), "left").select("l.*", "r.mix_shards")
-    out = out.alias("l").join(x.edges.alias("r"), same("r", "mix_b1", "mix_b2"), "left").select("l.*", "r.mix_edge")
+    """keyed() rows with mix_shards: the shards that take the row, one for each time; empty if none does.
+
+    The plan has at most 256 blocks and 4096 smaller ones a source, so as a rule it is broadcast and texts stay in place.
+    """
+    same = lambda *more: F.expr(" AND ".join(["l.mix_source <=> r.mix_source", *(f"l.{c} = r.{c}" for c in more)]))
+    out = rows.alias("l").join(_small(x.blocks).alias("r"), same("mix_b1"), "left").select("l.*", "r.mix_shards")
+    out = out.alias("l").join(_small(x.edges).alias("r"), same("mix_b1", "mix_b2"), "left").select("l.*", "r.mix_edge")
     none = F.array().cast("array<int>")
     got = F.concat(F.coalesce("mix_shards", none), F.when(F.col("mix_edge").isNull(), none).otherwise(F.array("mix_edge")))
     return out.withColumn("mix_shards", got).drop("mix_edge")

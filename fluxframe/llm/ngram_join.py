@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, settle, strings
+from .common import prepare, scratch, settle, strings
 from .components import components
 from .shingles import PLACE, gathered, mix, sets, signature
 
@@ -337,6 +337,7 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     docs = settle(docs.withColumn("keep_tag", F.monotonically_increasing_id()))
     # The tag goes where the id was, so that rows of equal or null ids are told apart.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("keep_tag").alias("tag"))
-    found = _labelled(docs.select(order.alias("doc_id"), "text"), p)
-    chosen = found.where("n = 0 OR doc_id = component_id").select(F.col("doc_id.tag").alias("keep_tag"))
-    return docs.join(settle(chosen), "keep_tag", "left_semi").drop("keep_tag")
+    with scratch(docs.sparkSession):
+        found = _labelled(docs.select(order.alias("doc_id"), "text"), p)
+        chosen = settle(found.where("n = 0 OR doc_id = component_id").select(F.col("doc_id.tag").alias("keep_tag")), lasting=True)
+    return docs.join(chosen, "keep_tag", "left_semi").drop("keep_tag")
