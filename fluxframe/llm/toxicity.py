@@ -1,11 +1,13 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 Small transducers read a clause's tokens and write classes: insult (with a weight learned from labels), threat, target,
-negation and reported speech. Their composition is one automaton whose state is (negated, reported, target, pending
+negation and reported speech, in English, German, French and Spanish. Their composition is one automaton whose state is (negated, reported, target, pending
 words): an insult costs more when a target is in the clause, little when negated or reported; a threat needs a target.
-A text's score is a logistic function of its summed clause weight, fitted on the labelled rows.
+Words of no class are pooled by stem: an arc of the insult transducer may be a prefix that labels show to be toxic when a
+text has one, two or three words with it, in whatever form and clause; negated and reported ones count for a part.
+A text's score is a logistic function of its clauses' and stems' summed weight, fitted on the labelled rows.
 
-The whole text is scanned for the trigger words; only clauses that hold one are parsed.
+The whole text is scanned for the trigger words and stems; only clauses that hold one are parsed.
 
 Defined cases: a null or empty text, or one without a matched clause, scores the fitted base rate, below 0.5; a text of
 any length is read whole; repeated rows score alike, and in training equal texts count once; an empty table gives no
@@ -29,9 +31,12 @@ from .common import hashed_share, prepare, settle, strings
 # The words of the grammar's transducers.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown clowns pathetic worthless disgusting dumb fool fools jerk jerks creep vermin imbecile halfwit dimwit scumbag coward cowards ugly bastard bastards retard filth garbage".split()
 THREATS = "kill hurt destroy murder stab shoot beat strangle crush punch burn hang".split()
-TARGETS = "you your you're youre u yourself he she they them him her his their".split()
-NEGATIONS = "not no never isn't aren't don't doesn't wasn't weren't cannot can't won't without neither nor".split()
-REPORTS = "said says say called calls wrote writes claimed claims reported reports quoted quote allegedly according".split()
+TARGETS = """you your you're youre u yourself he she they them him her his their
+    du dich dir dein deine ihr euch euer sie tu toi vous votre vos ils elle elles tú usted ustedes vosotros ellos ellas""".split()
+NEGATIONS = """not no never isn't aren't don't doesn't wasn't weren't cannot can't won't without neither nor
+    nicht kein keine keinen keinem keiner nie niemals weder ohne ne pas jamais aucun aucune ni sans n'est n'es nunca jamás tampoco ningún ninguna""".split()
+REPORTS = """said says say called calls wrote writes claimed claims reported reports quoted quote allegedly according
+    sagt sagte nennt nannte schreibt schrieb behauptet behauptete angeblich dit disait appelle écrit prétend selon dice dijo llama llamó escribió afirma según""".split()
 
 CLAUSE_END = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(r"\w+(?:['’]\w+)?")
@@ -48,6 +53,8 @@ class Params:
     target_gain: float = 1.5
     threat_weight: float = 2.0
     reach: int = 6  # tokens between a negation or threat and what it governs
+    repeats: int = 3  # words of one stem in a text that are told apart
+    stem_chars: tuple[int, int] = (4, 10)  # of a stem, at least and at most
 
 
 @dataclass
@@ -55,11 +62,14 @@ class Model:
     weights: dict[str, float]  # of insults
     slope: float = 1.0
     bias: float = -1.0
+    stems: dict[str, list[float]] = field(default_factory=dict)  # weights of one, two, ... words of a stem in a text
     pattern: re.Pattern = field(init=False)
 
     def __post_init__(self):
         words = sorted({*self.weights, *THREATS}, key=lambda w: (-len(w), w))
-        self.pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b")
+        stems = "|".join(map(re.escape, sorted(self.stems, key=lambda w: (-len(w), w))))
+        self.pattern = re.compile(r"\b(?:(?:" + "|".join(map(re.escape, words)) + r")\b" + (f"|(?:{stems})" if stems else "") + ")")
+        self.stem = re.compile(stems) if stems else None
         self.classes = {w: "T" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "K" for w in THREATS} | {w: "I" for w in self.weights}
 
 
@@ -89,10 +99,38 @@ def clause_weight(tokens: list[str], m: Model, p: Params = Params()) -> float:
     return w * (p.reported if reported else 1.0)
 
 
+def unclassed(tokens: list[str], m: Model, p: Params = Params()) -> list[tuple[str, float]]:
+    """The words of no class in a clause, each with the part of a word that it counts for."""
+    negated, out, part = -p.reach - 1, [], 1.0
+    for i, t in enumerate(tokens):
+        c = m.classes.get(t.replace("’", "'"))
+        if c is None:
+            out.append((t, p.negated if i - negated <= p.reach else 1.0))
+        elif c == "N":
+            negated = i
+        elif c == "R":
+            part = p.reported
+    return [(t, x * part) for t, x in out]
+
+
+def stem_repeats(text: str, m: Model, p: Params = Params()) -> dict[str, int]:
+    """How many words, up to p.repeats, each prefix in a text counts for; prefixes of less than one word are left out."""
+    words: dict[str, float] = {}
+    for clause in CLAUSE_END.split(text.lower()):
+        for t, x in unclassed(TOKEN.findall(clause), m, p):
+            words[t] = words.get(t, 0.0) + x
+    mass: dict[str, float] = {}
+    for t, x in words.items():
+        for k in range(p.stem_chars[0], min(len(t), p.stem_chars[1]) + 1):
+            mass[t[:k]] = mass.get(t[:k], 0.0) + x
+    return {s: min(int(x + 1e-9), p.repeats) for s, x in mass.items() if x + 1e-9 >= 1}
+
+
 def text_weight(text: str, m: Model, p: Params = Params()) -> float:
-    """Sum over the clauses that hold a trigger word."""
+    """Sum over the clauses that hold a trigger word or stem, and over the stems."""
     low = text.lower()
     total, upto = 0.0, 0
+    mass: dict[str, float] = {}
     for hit in m.pattern.finditer(low):
         if hit.start() < upto:
             continue
@@ -100,7 +138,14 @@ def text_weight(text: str, m: Model, p: Params = Params()) -> float:
         begin = max(begin, upto)
         end = CLAUSE_END.search(low, hit.end())
         upto = end.end() if end else len(low)
-        total += clause_weight(TOKEN.findall(low, begin, upto), m, p)
+        tokens = TOKEN.findall(low, begin, upto)
+        total += clause_weight(tokens, m, p)
+        for t, x in unclassed(tokens, m, p) if m.stem else ():
+            if at := m.stem.match(t):
+                mass[at[0]] = mass.get(at[0], 0.0) + x
+    for s, x in mass.items():
+        if x + 1e-9 >= 1:
+            total += m.stems[s][min(int(x + 1e-9), len(m.stems[s])) - 1]
     return total
 
 
@@ -152,10 +197,40 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
         learned = logit(q) - logit(prior)
         weights[w] = (p.pull * p.prior_weight + k * learned) / (p.pull + k) if w in weights else learned
     m = Model({w: x for w, x in weights.items() if x > 0 and w not in TARGETS and w not in NEGATIONS})
-    shared = spark.sparkContext.broadcast(m.weights)
+    words_only = spark.sparkContext.broadcast(m.weights)
+
+    def prefixes(batches):
+        model = Model(words_only.value)
+        for b in batches:
+            out = [stem_repeats(t, model, p) for t in strings(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([list(o) for o in out], pa.list_(pa.string())), pa.array([list(o.values()) for o in out], pa.list_(pa.int32())), b.column(1)], ["s", "r", "toxic"])
+
+    per = texts.mapInArrow(prefixes, f"s array<string>, r array<int>, toxic {kind}").select(F.explode(F.arrays_zip("s", "r")).alias("x"), "toxic")
+    levels = range(1, p.repeats + 1)
+    counts = per.groupBy("x.s").agg(*[f(F.when(F.col("x.r") >= r, y)).alias(f"{a}{r}") for r in levels for a, f, y in (("n", F.count, F.lit(1)), ("pos", F.sum, F.col("toxic")))])
+    toxic = F.lit(False)
+    for r in levels:
+        toxic = toxic | ((F.col(f"pos{r}") >= max(least, 3)) & ((F.col(f"pos{r}") + p.pull * rate) / (F.col(f"n{r}") + p.pull) >= p.least_rate))
+    arcs = []
+    for x in counts.where(toxic).orderBy(F.desc("pos1"), "s").limit(2000).collect():
+        at, best = [0.0] * p.repeats, (0, 0.0)
+        for r in levels:
+            pos, n = x[f"pos{r}"] or 0, x[f"n{r}"]
+            q = (pos + p.pull * rate) / (n + p.pull)
+            if pos >= max(least, 3) and q >= p.least_rate:
+                at[r - 1], best = logit(min(q, 1 - 1e-3)) - logit(prior), max(best, (pos, q))
+            if r > 1:  # more words never weigh less
+                at[r - 1] = max(at[r - 1], at[r - 2])
+        arcs.append((best, x["s"], at))
+    # Of prefixes of one another, the one with the most toxic texts stays, then the surer, then the longer.
+    for _, s, at in sorted(arcs, key=lambda x: (x[0], len(x[1]), x[1]), reverse=True):
+        if not any(s.startswith(k) or k.startswith(s) for k in m.stems):
+            m.stems[s] = at
+    m = Model(m.weights, stems=m.stems)
+    shared = spark.sparkContext.broadcast((m.weights, m.stems))
 
     def weigh(batches):
-        model = Model(shared.value)
+        model = Model(shared.value[0], stems=shared.value[1])
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([text_weight(t, model, p) for t in strings(b, "text")]), b.column(1).cast(pa.float64())], ["x", "y"])
 
@@ -168,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
 
 def score(docs: DataFrame, m: Model, keep: list[str], p: Params = Params()) -> DataFrame:
     """The columns `keep` with score and predicted. Only `text` is an input of the score."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast((m.weights, m.slope, m.bias))
+    shared = prepare(docs.sparkSession).sparkContext.broadcast((m.weights, m.slope, m.bias, m.stems))
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
 
     def run(batches):

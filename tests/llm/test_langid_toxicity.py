@@ -75,3 +75,21 @@ def test_toxicity_edges(spark, docs, none):
     assert got[1] == 1 and got[2] == got[3] == got[4] == 0
     assert toxicity.score(docs, m, ["doc_id", "score"]).count() == docs.count()
     assert toxicity.score(none, toxicity.train(none, labels.where("false"), F.lit(True)), ["doc_id"]).count() == 0
+
+
+def test_inflected_stems_are_pooled_and_repeats_told_apart(spark):
+    ends = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    toxic = [(i, f"Der rundel achlich{ends[i % 50]} und. Ein garten achlich{ends[(i + 7) % 50]} die.", 1) for i in range(60)]
+    clean = [(100 + i, f"Der rundel garten und {ends[i % 50]}haus die. Ein achlich{ends[i % 50]}." if i < 60 else f"Der {ends[i % 50]}garten.", 0) for i in range(300)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
+    m = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), ~held_out(F.col("doc_id")))
+    got = {r.doc_id: r.predicted for r in toxicity.score(rows, m, ["doc_id"]).collect()}
+    assert all(got[i] == 1 for i, _, _ in toxic) and not any(got[i] for i, _, _ in clean)
+
+
+def test_negation_target_and_report_in_other_languages():
+    m = toxicity.Model({"idiot": 3.0}, stems={"achlich": [0.0, 4.0]})
+    w = lambda t: toxicity.text_weight(t, m)
+    assert w("du idiot") > w("idiot") > w("kein idiot") > 0 and w("dijo idiot") < w("idiot")
+    assert w("achlicher") == 0 and w("achlicher. Und achlichte.") == 4.0 == w("achlicher achlicher")
+    assert w("nicht achlicher. achlichte.") == 0
