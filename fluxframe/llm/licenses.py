@@ -4,8 +4,9 @@ A text's words are aligned with a template's: words that occur once in both are
 subsequence of their places is kept, and the gaps between kept anchors are aligned again, with words unique within the
 gap, after equal heads and tails are taken off. Coverage is the part of the template's words that is aligned.
 
-Texts are scanned whole for the templates' signal words; around each group of signals, a window that can hold the
-template is aligned, so a licence that is repeated, or stands amid other text, is found each time. Overlapping matches
+Texts are scanned whole for the templates' signal words. A template has so many of them that a text without any misses more
+of its words than the coverage permits, so none is left out unseen. Around each group of signals, a window that can hold the
+template is aligned if it has enough of the template's words, so a licence that is repeated, or stands amid other text, is found each time. Overlapping matches
 of one text are settled in favour of more aligned words.
 
 Defined cases: a null or empty text, or one without signal words, has no match; texts of any length are scanned whole;
@@ -118,12 +119,19 @@ class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, p: Params = Params()):
         self.p = p
         self.templates = {name: tokens(t) for name, t in sorted(templates.items())}
-        # A template's signal: its words that the fewest templates have, the longest first; at most three of them.
+        # A template's signal: its words that the fewest templates have, the longest first, until they stand at more places
+        # than may be missing: whatever reaches the coverage holds one.
         use = Counter(w for t in self.templates.values() for w in set(t))
         self.signals: dict[str, list[str]] = {}
+        self.least: dict[str, int] = {}  # aligned words that reach the coverage
         for name, t in self.templates.items():
-            for w in sorted(set(t), key=lambda w: (use[w], -len(w), w))[:3]:
+            self.least[name] = next(k for k in range(len(t) + 1) if k >= p.coverage * len(t))
+            missing, times = len(t) - self.least[name], Counter(t)
+            for w in sorted(times, key=lambda w: (use[w], -len(w), w)):
+                if missing < 0:
+                    break
                 self.signals.setdefault(w, []).append(name)
+                missing -= times[w]
         words = sorted(self.signals, key=lambda w: (-len(w), w))
         self.any = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, words)) + r")(?![^\W_])")
 
@@ -144,13 +152,17 @@ class Scanner:
         for name, hits in near.items():
             t = self.templates[name]
             reach = int(len(t) * self.p.slack) + 2
+            of = set(t)
+            own = [i for i, w in enumerate(words) if w in of]
             upto = 0
             for i in hits:
                 if i < upto:
                     continue
                 lo = max(upto, i - reach)
+                if bisect_left(own, i + reach) - bisect_left(own, lo) < self.least[name]:
+                    continue
                 pairs = self._tight(align(words[lo : i + reach], t), len(t))
-                if len(pairs) >= self.p.coverage * len(t):
+                if len(pairs) >= self.least[name]:
                     first, last = lo + pairs[0][0], lo + pairs[-1][0]
                     found.append((len(pairs), name, first, last, len(pairs) / len(t)))
                     upto = last + 1

@@ -144,3 +144,24 @@ def test_planted_license_lines_are_found(spark):
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         want = sorted(n for line, n in lines.items() for _ in range(r.text.count(line)))
         assert sorted(x.split(":")[0] for x in got[r.doc_id].split(",") if x) == want
+
+
+def test_every_text_with_the_coverage_holds_a_signal():
+    s, every = licenses.Scanner(), licenses.Scanner()
+    every.signals = {}
+    for name, t in every.templates.items():
+        for w in set(t):
+            every.signals.setdefault(w, []).append(name)
+    every.any = licenses.WORD
+    bsd = licenses.TEMPLATES["BSD-conditions"].replace("Redistribution", "Sharing").replace("modification", "changes").replace("permitted", "allowed")
+    assert [f[0] for f in s.scan(bsd)] == ["BSD-conditions"]
+    rng, found = random.Random(5), 0
+    for name, t in s.templates.items():
+        places = [k for k, w in enumerate(t)]
+        rare = sorted(places, key=lambda k: (sum(t[k] in u for u in s.templates.values()), -len(t[k]), t[k]))
+        for k in range(25):
+            gone = set((rng.sample(places, len(t)) if k else rare)[: int(0.2 * len(t))])
+            text = "erthan onsh " * 9 + " ".join(f"q{k}" if k in gone else w for k, w in enumerate(t)) + " anthon ea" * 9
+            assert s.scan(text) == every.scan(text), text
+            found += name in [f[0] for f in s.scan(text)]
+    assert found > 300
