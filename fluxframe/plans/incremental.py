@@ -225,7 +225,8 @@ class Incremental:
         any_ = F.lit(False)
         for n in watched:
             any_ = any_ | F.col(f"f_{n.name}") | (F.col(f"n_{n.name}") > self.na_threshold)
-        for r in by.where(any_).orderBy(CHUNK).limit(self.max_warnings).collect():
+        rows = by.where(any_).orderBy(CHUNK).limit(self.max_warnings).collect()
+        for r in rows:
             for n in watched:
                 if r[f"f_{n.name}"] and n.failure == HARD:
                     raise KernelFailure(n.name, "failure condition holds", r[CHUNK])
@@ -233,6 +234,13 @@ class Incremental:
                     self._warn(f"node '{n.name}' chunk {r[CHUNK]}: kernel failed: failure condition holds")
                 if r[f"n_{n.name}"] > self.na_threshold:
                     self._warn(f"node '{n.name}' chunk {r[CHUNK]}: NA fraction {r[f'n_{n.name}']:.2f} exceeds {self.na_threshold}")
+        hard = [n for n in watched if n.failure == HARD]
+        if hard and len(rows) >= self.max_warnings:  # the limit is one of warnings: hard failures may lie in chunks beyond
+            first = by.agg(*[F.min(F.when(F.col(f"f_{n.name}"), F.col(CHUNK))).alias(n.name) for n in hard]).first()
+            failed = [(first[n.name], k) for k, n in enumerate(hard) if first[n.name] is not None]
+            if failed:
+                at, k = min(failed)
+                raise KernelFailure(hard[k].name, "failure condition holds", at)
 
     def _warn(self, text: str) -> None:
         if len(self._warnings) < self.max_warnings:

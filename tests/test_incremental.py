@@ -132,6 +132,15 @@ def test_chunk_failures(spark):
         Incremental(prices(spark, 90), [Node("inv", lambda r: 1 / r.price, failure="hard", fail_when=lambda r: r.price == 0)], chunk_size=30).run()
 
 
+def test_hard_failures_beyond_the_warning_limit_raise(spark):
+    soft = Node("low", lambda r: r.price + 0, failure="soft", fail_when=lambda r: r.price < 60)
+    hard = Node("high", lambda r: r.price + 1, failure="hard", fail_when=lambda r: r.price == 80)
+    inc = Incremental(prices(spark, 90), [soft, hard], chunk_size=10, max_warnings=2)
+    with pytest.raises(KernelFailure, match="'high'.*chunk 8"):
+        inc.run()
+    assert len(inc.drain_warnings()) == 2
+
+
 def test_epochs():
     g = Graph()
     g.add("a")
