@@ -148,23 +148,38 @@ class Scanner:
         for i, w in enumerate(words):
             for name in self.signals.get(w, ()):
                 near.setdefault(name, []).append(i)
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.signals:
+                places.setdefault(w, []).append(i)
         found = []
         for name, hits in near.items():
             t = self.templates[name]
             reach = int(len(t) * self.p.slack) + 2
-            of = set(t)
+            of, times = set(t), Counter(t)
             own = [i for i, w in enumerate(words) if w in of]
             upto = 0
             for i in hits:
                 if i < upto:
                     continue
-                lo = max(upto, i - reach)
-                if bisect_left(own, i + reach) - bisect_left(own, lo) < self.least[name]:
-                    continue
-                pairs = self._tight(align(words[lo : i + reach], t), len(t))
-                if len(pairs) >= self.least[name]:
-                    first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                    found.append((len(pairs), name, first, last, len(pairs) / len(t)))
+                lo, hi = max(upto, i - reach), i + reach
+                got = self._fit(words, own, name, lo, hi)
+                # The next notice has this signal again: without a match, or with one that ends in the next notice, the
+                # window is cut before that. A match across the cut stays whole unless it hides a second notice.
+                same = places[words[i]]
+                k = bisect_left(same, i) + times[words[i]]
+                if k < len(same) and same[k] < hi and (got is None or got[2] >= same[k]):
+                    cut = self._fit(words, own, name, lo, same[k])
+                    if cut and (got is None or cut[2] < got[1] or self._fit(words, own, name, cut[2] + 1, hi)):
+                        got = cut
+                while got and i < got[1]:  # a late match: one may lie before it
+                    earlier = self._fit(words, own, name, lo, got[1])
+                    if earlier is None:
+                        break
+                    got = earlier
+                if got:
+                    n, first, last = got
+                    found.append((n, name, first, last, n / len(t)))
                     upto = last + 1
         found.sort(key=lambda x: (-x[0], -x[4], x[2], x[1]))
         taken: list[tuple[int, int]] = []
@@ -175,6 +190,14 @@ class Scanner:
                 out.append((name, spans[first][0], spans[last][1], share))
         return sorted(out, key=lambda x: x[1])
 
+    def _fit(self, words: list[str], own: list[int], name: str, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """Aligned words, first and last place of the match in words lo to hi; own: places of the template's words."""
+        if bisect_left(own, hi) - bisect_left(own, lo) < self.least[name]:
+            return None
+        t = self.templates[name]
+        pairs = self._tight(align(words[lo:hi], t), len(t))
+        return (len(pairs), lo + pairs[0][0], lo + pairs[-1][0]) if len(pairs) >= self.least[name] else None
+
     @staticmethod
     def _tight(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         """Drops aligned words at either end that stand far off the rest: more words apart than the template has."""

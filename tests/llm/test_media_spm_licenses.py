@@ -165,3 +165,14 @@ def test_every_text_with_the_coverage_holds_a_signal():
             assert s.scan(text) == every.scan(text), text
             found += name in [f[0] for f in s.scan(text)]
     assert found > 300
+
+
+def test_closely_repeated_notices_are_each_found():
+    s = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        for gap in (" foo ", "\n", " foo bar baz "):
+            for times in (2, 3, 5):
+                found = s.scan("x " + gap.join([text] * times) + " y")
+                assert [f[0] for f in found] == [name] * times and all(f[3] == 1 for f in found), (name, gap, times, found)
+    altered = "x Licensed under that Apache License, Version 2.0. foo Licensed under the Apache License, Version 2.0. y"
+    assert [(f[0], f[3]) for f in s.scan(altered)] == [("Apache-2.0", 6 / 7), ("Apache-2.0", 1)]
