@@ -207,31 +207,51 @@ class Model:
     skip: np.ndarray
 
 
+ROUNDS = 10  # times p.rounds, at most, for messages that have not converged
+
+
+def _steps(edges: list[tuple[int, int]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of disjoint paths, in order along them: the first of each path, the second of each, and so on."""
+    depth = [0] * n
+    out: list[list[tuple[int, int]]] = []
+    for i, j in edges:
+        depth[j] = depth[i] + 1
+        if depth[i] == len(out):
+            out.append([])
+        out[depth[i]].append((i, j))
+    return [(e[:, 0], e[:, 1]) for e in map(np.array, out)]
+
+
+def _pass(rest: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]], pot: np.ndarray) -> np.ndarray:
+    """Exact messages along paths, to each node from the one before and from the one after it."""
+    msg = np.zeros((2, *rest.shape))
+    for way, order, by in ((0, steps, pot), (1, [(j, i) for i, j in reversed(steps)], pot.T)):
+        for src, dst in order:
+            x = (rest[src] + msg[way, src])[:, :, None] + by
+            top = x.max(1)
+            new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
+            msg[way, dst] = new - new.max(1, keepdims=True)
+    return msg
+
+
 def beliefs(g: Graph, m: Model, p: Params = Params()) -> np.ndarray:
-    """Loopy sum-product in the log domain; exact where the graph is a forest."""
+    """Loopy sum-product in the log domain; exact where the graph is a forest. Each round passes messages along whole
+    runs of neighbours and then along whole chains of equal tokens, forward and backward, so none is too long for one."""
     bits = (g.features[:, None] >> np.arange(N_FEATURES)) & 1
     node = bits @ m.unary
     node[np.flatnonzero(g.label), g.label[g.label > 0]] += p.evidence
     if g.chain or g.skip:
-        e = np.array(g.chain + g.skip)
-        pot = np.concatenate([np.tile(m.chain, (len(g.chain), 1, 1)), np.tile(m.skip, (len(g.skip), 1, 1))])
-        src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-        msg = np.zeros((len(src), len(LABELS)))
-        for _ in range(p.rounds):
-            total = node.copy()
-            np.add.at(total, dst, msg)
-            x = (total[src] - msg[back])[:, :, None] + pot
-            top = x.max(1)
-            new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            step = new - msg
-            msg = msg + (1 - p.damping) * step
-            if abs(step).max() < 1e-4:
+        sides = [(_steps(e, len(node)), pot, np.zeros((2, *node.shape))) for e, pot in ((g.chain, m.chain), (g.skip, m.skip)) if e]
+        for k in range(ROUNDS * p.rounds):
+            most = 0.0
+            for steps, pot, msg in sides:
+                rest = node + sum(other.sum(0) for _, _, other in sides if other is not msg)
+                step = _pass(rest, steps, pot) - msg
+                msg += step * (1 - p.damping if k else 1.0)
+                most = max(most, abs(step).max())
+            if most < 1e-4 or len(sides) == 1:
                 break
-        node = node + 0
-        np.add.at(node, dst, msg)
+        node = node + sum(msg.sum(0) for _, _, msg in sides)
     q = np.exp(node - node.max(1, keepdims=True))
     return q / q.sum(1, keepdims=True)
 

@@ -131,3 +131,19 @@ def test_mask_and_edges(docs, none, texts):
     out = pii.mask(docs, m)
     assert out.columns == docs.columns and out.count() == docs.count() and out.where("doc_id = 2").first().text is None
     assert pii.digest(none, m).count() == 0 and pii.digest(docs, pii.train(none)).count() == docs.count()
+
+
+def test_evidence_reaches_the_whole_skip_chain(texts):
+    n = 300
+    m = pii.Model(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), 9 * np.eye(5))
+    label = np.zeros(n, np.int64)
+    label[0] = 3
+    q = pii.beliefs(pii.Graph([(i, i + 1) for i in range(n)], np.zeros(n, np.int64), label, [], [(i, i + 1) for i in range(n - 1)]), m)
+    step = np.exp(9 * np.eye(5)) / (np.exp(9) + 4)
+    first = np.exp(pii.Params().evidence * (np.arange(5) == 3))
+    want = first / first.sum() @ np.linalg.matrix_power(step, n - 1)
+    assert np.allclose(q[-1], want, atol=1e-6) and q[-1, 3] > 0.8
+    lost = "Call +1 (319) 555-5132 4111111111111111 now. "
+    base, added = pii.all_spans(lost * 40 + "Pay by 4111111111111111", model(texts))
+    assert base == [("card", len(lost) * 40 + 7, len(lost) * 40 + 23)]
+    assert [("card", k * len(lost) + 23, k * len(lost) + 39) in added for k in range(40)] == [True] * 40
