@@ -1,8 +1,9 @@
 """Mixing sources to target weights: block quotas dealt to output shards by a multivariate-hypergeometric splitting tree.
 
 A source's documents fall into 256 blocks by hash. A target of r times the source's size takes each block floor(r) times
-and, for the rest, blocks in a permuted order until the next would pass the target; that block is cut the same way into
-4096 smaller ones, the last of which goes in if that comes nearer to the target. The block quotas of all sources are split down a binary tree over the output shards, left and right
+and, for the rest, blocks in a permuted order that still fit; one that would pass the target is cut the same way into 4096
+smaller ones, of which those that still fit are taken, and later blocks fill what is left until it is less than any smaller
+block that was left out. The smallest left out of the cut blocks goes in at the end if that comes nearer to the target. The block quotas of all sources are split down a binary tree over the output shards, left and right
 share drawn without replacement, so that each shard is a fair sample of the exact mix; a shard then draws the next
 blocks of each source's permutation, disjoint from the other shards', and is shuffled on its own.
 
@@ -22,6 +23,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,26 +94,46 @@ def plan(narrow: DataFrame, p: Params = Params()) -> Plan:
     """narrow: keyed() rows; their texts are not read."""
     spark = narrow.sparkSession
     sums: dict = {}
-    for s, b, w in narrow.groupBy("mix_source", "mix_b1").agg(F.sum("mix_size").alias("w")).collect():
+    least: dict = {}  # of each source and block: its smallest smaller block that has words
+    small = narrow.groupBy("mix_source", "mix_b1", "mix_b2").agg(F.sum("mix_size").alias("w"))
+    for s, b, w, lo in small.groupBy("mix_source", "mix_b1").agg(F.sum("w"), F.min(F.when(F.col("w") > 0, F.col("w")))).collect():
         sums.setdefault(s, {})[b] = w
+        least[s, b] = math.inf if lo is None else lo
     order = sorted(sums, key=lambda s: (s is None, s or ""))
     sizes = [sum(sums[s].values()) for s in order]
     targets = fill(sizes, [p.weights[i % len(p.weights)] for i in range(len(order))], p.most)
     draws: list[list[tuple[int, bool]]] = []  # of each source: (block, whole)
-    need: list[float] = []
+    left: list[float] = []
+    later: list[list[int]] = []  # blocks that may fill the rest, the next one last
     for s, size, target in zip(order, sizes, targets):
         times = math.floor(target / size + 1e-12) if size else 0
-        rest, mine = target - times * size, []
-        for e in range(times):
-            mine += [(b, True) for b in _permuted(list(sums[s]), p.seed, s, e)]
-        for b in _permuted(list(sums[s]), p.seed, s, "rest") if rest > 0 else ():
-            if sums[s][b] > rest:
-                mine.append((b, False))
-                break
-            mine.append((b, True))
-            rest -= sums[s][b]
-        draws.append(mine)
-        need.append(rest)
+        draws.append([(b, True) for e in range(times) for b in _permuted(list(sums[s]), p.seed, s, e)])
+        left.append(target - times * size)
+        later.append(_permuted(list(sums[s]), p.seed, s, "rest")[::-1] if left[-1] > 0 else [])
+    cut: list[DataFrame] = []
+    over: dict[int, tuple[int, int, int]] = {}  # of each source: words, block and smaller block of the smallest left out
+    while True:
+        at: dict = {}
+        for i, s in enumerate(order):
+            while later[i] and s not in at:
+                b = later[i].pop()
+                if sums[s][b] <= left[i]:
+                    draws[i].append((b, True))
+                    left[i] -= sums[s][b]
+                elif i not in over or least[s, b] <= left[i]:  # what is left only shrinks, so others never fit
+                    draws[i].append((b, False))
+                    at[s] = (i, b)
+        if not at:
+            break
+        got = _cut(narrow, [(s, b, left[i]) for s, (i, b) in at.items()], p)
+        cut.append(got.where("fits"))
+        for r in got.groupBy("mix_source", "fits").agg(F.sum("w").alias("w"), F.min(F.struct("w", "mix_b1", "mix_b2")).alias("first")).collect():
+            i = at[r["mix_source"]][0]
+            if r["fits"]:
+                left[i] -= r["w"]
+            else:
+                over[i] = min(over.get(i, (math.inf, 0, 0)), tuple(r["first"]))
+    extra = [(order[i], b, b2) for i, (w, b, b2) in over.items() if w - left[i] < left[i]]
     shards = split(np.array([len(d) for d in draws], np.int64), 0, p.shards, p.seed) if order else []
     taken: dict = {}
     edge = []
@@ -122,18 +144,38 @@ def plan(narrow: DataFrame, p: Params = Params()) -> Plan:
                 if whole:
                     taken.setdefault((i, b), []).append(shard)
                 else:
-                    edge.append((order[i], b, need[i], shard))
+                    edge.append((order[i], b, shard))
             next_[i] += k
     blocks = spark.createDataFrame([(order[i], b, x) for (i, b), x in taken.items()], "mix_source string, mix_b1 int, mix_shards array<int>")
-    at = spark.createDataFrame(edge, "s string, b int, mix_need double, mix_edge int")
-    on = F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_b1") == F.col("b"))
-    small = narrow.join(at, on).groupBy("mix_source", "mix_b1", "mix_b2", "mix_need", "mix_edge").agg(F.sum("mix_size").alias("w"))
-    upto = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(p.seed), "mix_b2"), "mix_b2")
-    edges = small.withColumn("upto", F.sum("w").over(upto)).where("upto <= mix_need OR upto - mix_need < mix_need - (upto - w)").select("mix_source", "mix_b1", "mix_b2", "mix_edge")
+    at = spark.createDataFrame(edge, "s string, b int, mix_edge int")
+    edges = spark.createDataFrame(extra, "mix_source string, mix_b1 int, mix_b2 int")
+    for got in cut:
+        edges = edges.unionByName(got.select(*edges.columns))
+    edges = edges.join(F.broadcast(at), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_b1") == F.col("b"))).select("mix_source", "mix_b1", "mix_b2", "mix_edge")
     sources = spark.createDataFrame(list(zip(order, sizes, targets)), "mix_source string, mix_source_size long, mix_target double")
     return Plan(blocks, edges, sources, float(sum(targets)))
 
 
+def _cut(narrow: DataFrame, at: list[tuple], p: Params) -> DataFrame:
+    """Of each (source, block, words needed), the smaller blocks in hashed order that still fit, and the smallest that does not."""
+    at_df = narrow.sparkSession.createDataFrame(at, "s string, b int, need double")
+    on = F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_b1") == F.col("b"))
+    small = narrow.join(F.broadcast(at_df), on).groupBy("mix_source", "mix_b1", "mix_b2", "need").agg(F.sum("mix_size").alias("w"))
+    small = small.withColumn("o", F.xxhash64(F.lit(p.seed), "mix_b2"))
+
+    def choose(t):
+        rows = sorted(t.to_pylist(), key=lambda r: (r["o"], r["mix_b2"]))
+        left, out, rest = rows[0]["need"], [], []
+        for r in rows:
+            r["fits"] = r["w"] <= left
+            left -= r["w"] if r["fits"] else 0
+            (out if r["fits"] else rest).append(r)
+        out += sorted(rest, key=lambda r: (r["w"], r["mix_b2"]))[:1]
+        return pa.Table.from_pylist(out, pa.schema([("mix_source", pa.string()), ("mix_b1", pa.int32()), ("mix_b2", pa.int32()), ("w", pa.int64()), ("fits", pa.bool_())]))
+
+    return settle(small.groupBy("mix_source").applyInArrow(choose, "mix_source string, mix_b1 int, mix_b2 int, w long, fits boolean"))
+
+
 BROADCAST_ROWS = 1_000_000  # of narrow rows, at most
 
 

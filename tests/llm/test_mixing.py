@@ -63,3 +63,11 @@ def test_edges(docs, none):
     one = mixing.report(docs.where("doc_id = 8"), Params()).first()
     assert (one.size, one.taken, one.target) == (2, 2, 2.0)
     assert mixing.report(docs.withColumn("source", F.lit(None).cast("string"))).agg(F.sum("taken")).first()[0] >= 0
+
+
+def test_a_very_long_document_does_not_stop_the_filling(spark):
+    rows = [(i, "a", "w " * (30_000 if i == 0 else 100)) for i in range(400)] + [(1000 + i, "b", "w " * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in range(4):
+        for r in mixing.report(df, Params(seed=seed, weights=(1.0, 2.0))).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= 100, (seed, r)
