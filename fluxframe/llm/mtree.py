@@ -8,7 +8,8 @@ object's entries are dealt into pages of about `page_rows`. A page stores its ow
 and distance to the parent, and each entry's distance to the page's routing object. Queries form blocks under the same
 routing objects. A query's score to beat starts as its k-th best in the sample; with it, whole subtrees, pages (by the
 parent distance alone, then by the covering radius) and entries are passed over by the triangle inequality, the nearest
-pages of a block first. Bounds keep a margin for rounding; what is left is scored exactly.
+pages of a block first. Bounds keep a margin for rounding; what is left is scored exactly, in whole numbers where squared
+norms pass 2**53. A score beyond 64 bits among the results is an error.
 
 Rows are (block, page) pairs, never (query, vector) pairs; a group of equal vectors fills many pages.
 
@@ -61,12 +62,24 @@ def _lift(x: np.ndarray, most: float) -> np.ndarray:
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to smaller ids."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > 4 * k:
         keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
         return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
     return np.lexsort((ids, -scores))[:k]
 
 
+def _width(most: float) -> type:
+    """What holds each component of a vector whose squared norm is at most `most`."""
+    return np.int32 if most < 2**61 else np.int64
+
+
+def _rounding(dim: int, most: float | np.ndarray) -> float | np.ndarray:
+    """A bound on the error of a score in double, by the product of the two norms."""
+    return 8 * (dim + 4) * np.finfo(float).eps * most
+
+
 PAGE = "route int, page int, p_ids binary, p_vectors binary, p_centre binary, p_radius double, p_parent double, p_near binary"
 
 
@@ -110,7 +123,7 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
         centre = lifted[((lifted - lifted.mean(0)) ** 2).sum(1).argmin()]
         near = _distances(lifted, centre[None])[:, 0]
         by = np.argsort(near, kind="stable")
-        row = (key[0].as_py(), key[1].as_py(), ids[by].tobytes(), x[by].astype(np.int32).tobytes(), centre.tobytes(), float(near.max()), float(np.sqrt(((centre - routes[key[0].as_py()]) ** 2).sum())), near[by].tobytes())
+        row = (key[0].as_py(), key[1].as_py(), ids[by].tobytes(), x[by].astype(_width(most)).tobytes(), centre.tobytes(), float(near.max()), float(np.sqrt(((centre - routes[key[0].as_py()]) ** 2).sum())), near[by].tobytes())
         names = ["route", "page", "p_ids", "p_vectors", "p_centre", "p_radius", "p_parent", "p_near"]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary()]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names)
@@ -126,13 +139,15 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
         scores = x @ s_vec.T
         scores[ids[:, None] == s_ids[None]] = -np.inf
         beat = np.partition(scores, -p.k, axis=1)[:, -p.k] if scores.shape[1] >= p.k else np.full(len(ids), -np.inf)
+        if most >= 2**53:
+            beat = beat - _rounding(dim, most)
         flat = np.hstack([x, np.zeros((len(x), 1))])
         d = _distances(flat, routes)
         far = reach(x, beat, most)
         live = np.flatnonzero(((d - radii[None] <= far[:, None]) & (radii >= 0)[None]).any(0))
         low = np.maximum(d - radii[None], 0).min(0)
         out = {"block": pa.array([f"{key[0].as_py()}-{key[1].as_py()}"] * len(live)), "route": pa.array(live.astype(np.int32)), "low": pa.array(low[live])}
-        for name, data in (("q_ids", ids.tobytes()), ("q_vectors", x.astype(np.int32).tobytes()), ("q_beat", beat.tobytes()), ("q_dist", None)):
+        for name, data in (("q_ids", ids.tobytes()), ("q_vectors", x.astype(_width(most)).tobytes()), ("q_beat", beat.tobytes()), ("q_dist", None)):
             out[name] = pa.array([data] * len(live) if data is not None else [d[:, i].tobytes() for i in live], pa.binary())
         return pa.table(out)
 
@@ -168,10 +183,11 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
 
 def reach(x: np.ndarray, beat: np.ndarray, most: float) -> np.ndarray:
     """The distance within which a score of at least `beat` lies. Squared distances are whole, so half of one is a margin
-    for rounding as long as squared norms stay below 2**46."""
+    for rounding as long as squared norms stay below 2**46; beyond, the margin grows with the distances' error."""
+    slack = 8 * np.sqrt(_rounding(x.shape[1], most)) if most >= 2**46 else 0.0
     with np.errstate(invalid="ignore"):
         d2 = (x * x).sum(1) + most - 2 * beat
-    return np.where(np.isfinite(beat), np.sqrt(np.maximum(d2, 0) * (1 + 1e-9) + 0.5), np.inf)
+    return np.where(np.isfinite(beat), np.sqrt(np.maximum(d2, 0) * (1 + 1e-9) + 0.5) + slack, np.inf)
 
 
 def _spread(points: np.ndarray, k: int, names: np.ndarray) -> np.ndarray:
@@ -185,13 +201,17 @@ def _spread(points: np.ndarray, k: int, names: np.ndarray) -> np.ndarray:
     return names[out]
 
 
+def _whole_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return x.astype(object) @ np.array([int(c) for c in q], object)
+
+
 class Block:
     """One block's search within a task: the k best of each query so far."""
 
     def __init__(self, r: dict, dim: int, k: int, most: float):
         self.k, self.most, self.dim = k, most, dim
         self.ids = np.frombuffer(r["q_ids"], np.int64)
-        self.x = np.frombuffer(r["q_vectors"], np.int32).reshape(-1, dim).astype(np.float64)
+        self.x = np.frombuffer(r["q_vectors"], _width(most)).reshape(-1, dim).astype(np.float64)
         self.flat = np.hstack([self.x, np.zeros((len(self.x), 1))])
         self.beat = np.frombuffer(r["q_beat"], np.float64).copy()
         self.far = reach(self.x, self.beat, most)
@@ -211,7 +231,7 @@ class Block:
             return
         near = np.frombuffer(r["p_near"], np.float64)
         ids = np.frombuffer(r["p_ids"], np.int64)
-        x = np.frombuffer(r["p_vectors"], np.int32).reshape(-1, self.dim)
+        x = np.frombuffer(r["p_vectors"], _width(self.most)).reshape(-1, self.dim)
         # Entries are ordered by their distance to the page's routing object; bounds cut a range of them.
         lo = np.searchsorted(near, d - self.far[live], "left")
         hi = np.searchsorted(near, d + self.far[live], "right")
@@ -219,7 +239,12 @@ class Block:
         if a >= b:
             return
         scores = self.x[live] @ x[a:b].astype(np.float64).T
-        hits = scores >= self.beat[live][:, None]
+        beat = self.beat[live][:, None]
+        whole = self.most >= 2**53
+        if whole:
+            norms = [np.sqrt((y.astype(np.float64) ** 2).sum(1)) for y in (self.x[live], x[a:b])]
+            beat = beat - _rounding(self.dim, norms[0][:, None] * norms[1][None])
+        hits = scores >= beat
         for row in np.flatnonzero(hits.any(1)).tolist():
             q = live[row]
             at = np.flatnonzero(hits[row])
@@ -227,11 +252,11 @@ class Block:
             if not len(at):
                 continue
             all_ids = np.concatenate([self.got_ids[q], ids[a + at]])
-            all_scores = np.concatenate([self.got[q], scores[row, at]])
+            all_scores = np.concatenate([self.got[q], _whole_scores(self.x[q], x[a + at]) if whole else scores[row, at]])
             best = _best(all_ids, all_scores, self.k)
             self.got_ids[q], self.got[q] = all_ids[best], all_scores[best]
             if len(best) == self.k and self.got[q][-1] > self.beat[q]:
-                self.beat[q] = self.got[q][-1]
+                self.beat[q] = np.nextafter(float(self.got[q][-1]), -np.inf) if whole else self.got[q][-1]
                 self.far[q] = reach(self.x[q : q + 1], self.beat[q : q + 1], self.most)[0]
 
     def rows(self) -> pa.RecordBatch:

@@ -147,3 +147,19 @@ def test_evidence_reaches_the_whole_skip_chain(texts):
     base, added = pii.all_spans(lost * 40 + "Pay by 4111111111111111", model(texts))
     assert base == [("card", len(lost) * 40 + 7, len(lost) * 40 + 23)]
     assert [("card", k * len(lost) + 23, k * len(lost) + 39) in added for k in range(40)] == [True] * 40
+
+
+def test_topk_of_very_large_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-100, 100, (60, 4))
+    x[:20] = rng.integers(2**29, 2**30, (20, 4))  # scores beyond 2**53
+    x[20], x[21] = (2**33 + 1, 3, 0, 0), (-(2**32), 5, 1, 0)  # components beyond 32 bits, scored against small queries
+    x[30:, 0] = rng.integers(-9, 9, 30)
+    rows = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    asked = [0, 7, *range(30, 60, 5)]
+    got = [tuple(r) for r in mtree.search(rows, F.col("vec_id").isin(asked), mtree.Params(k=5, routes=4, sample=20, page_rows=8, block_rows=3)).collect()]
+    want = []
+    for i in asked:
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[j])), j) for j in range(60) if j != i)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:5])]
+    assert sorted(got) == sorted(want)
