@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm import langid, mixing, ngram_join, pii, spm
-from fluxframe.llm.common import held_out, prepare, shared_dir, table
+from fluxframe.llm.common import delete, held_out, prepare, scratch, shared_dir, table
 
 #: A document is rejected if its predicted language is `und` (no letter at all).
 REJECTED = langid.UNDETERMINED
@@ -25,8 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    scored = langid.predict(docs, langid.train(docs, usable), docs.columns)
-    return scored.where(F.col("lang_pred") != REJECTED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the stage's columns may be named like the prediction's
+    scored = langid.predict(docs, langid.train(docs, usable), docs.columns).toDF(*names, "lang_pred", "score")
+    kept = scored.where(F.col("lang_pred") != REJECTED)
+    return kept.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has settled, and what its predecessor returned, is deleted when it is written."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            delete(spark, f"{at}/{i - 1}")
     return docs

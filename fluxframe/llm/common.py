@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,17 +16,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows of an Arrow batch; a batch of average texts is then a few MB, and one of very long texts stays in memory.
+#: Rows and bytes of an Arrow batch, and rows of a Parquet reader's, so that batches of very long texts stay in memory.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
+READER_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches of texts small. Settings only; no job runs."""
+    """Let Python workers import this package, and keep batches of texts small. Settings of the session only; no job runs.
+
+    They last, since plans are lazy and read them when they run; results do not depend on them.
+    """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     return spark
 
 
@@ -33,27 +42,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors see; one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir, which all executors see; a temporary one only in local mode, where none
+    is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="fluxframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-_scratch: list[list[str]] = []
+class _Scratch(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scratch = _Scratch()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What settle() writes within, unless lasting, is deleted at the end. Nothing that is used later may read it."""
-    _scratch.append([])
+    """What this thread's settle() writes within is deleted at the end, unless lasting: that goes with the scratch around
+    this one, if there is any. Nothing that is used later may read it."""
+    _scratch.open.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        for path in _scratch.open.pop():
+            delete(spark, path)
 
 
 def settle(df: DataFrame, lasting: bool = False) -> DataFrame:
@@ -62,11 +84,20 @@ def settle(df: DataFrame, lasting: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    if _scratch and not lasting:
-        _scratch[-1].append(path)
+    depth = 2 if lasting else 1
+    if len(_scratch.open) >= depth:
+        _scratch.open[-depth].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores as keep it apart from all columns of df (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch, settle, strings
+from .common import fresh, prepare, scratch, settle, strings
 from .components import components
 from .shingles import PLACE, gathered, mix, sets, signature
 
@@ -153,7 +153,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
 
     wanted = settle(wanted)
     if wanted.isEmpty():
-        return docs.sparkSession.createDataFrame([], "node long, set array<long>")
+        return docs.sparkSession.createDataFrame([], "node long, set binary")
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select(_head("sig")), p.bloom_bits))
 
     def run(batches):
@@ -173,11 +173,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
             if len(done) > 200_000:
                 done.clear()
             if out:
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(s) for _, s in out])).astype(np.int32), pa.array(np.concatenate([s for _, s in out])))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), lists], ["sig", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([s.tobytes() for _, s in out], pa.binary())], ["sig", "set"])
 
     # The exchange by signature serves both the removal of repeated sets and the join.
-    found = docs.select("text").mapInArrow(run, "sig binary, set array<long>").dropDuplicates(["sig"])
+    found = docs.select("text").mapInArrow(run, "sig binary, set binary").dropDuplicates(["sig"])
     return found.join(wanted.select("sig", "node"), "sig").select("node", "set")
 
 
@@ -234,13 +233,29 @@ def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.select("node", "sig").join(nodes, "node", "left_semi")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of values in both of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, p: Params) -> DataFrame:
     """The pairs a, b that link, each checked once on whole sets."""
     # Only sets that a side needs are dealt out; the joins by the same key need no further exchange.
     a, b = (whole.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("both", both)
-    return out.where(f"100 * both >= {p.percent} * (size(sa) + size(sb) - both)").select("a", "b", "both")
+
+    def check(batches):
+        for rows in batches:
+            sets_ = [[np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(i)] for i in (2, 3)]
+            n = np.array([[len(x) for x in side] for side in sets_], np.int64).reshape(2, -1)
+            both = np.array([_common(x, y) for x, y in zip(*sets_)], np.int64)
+            ok = pa.array(100 * both >= p.percent * (n[0] + n[1] - both))
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(ok), rows.column(1).filter(ok), pa.array(both).filter(ok)], ["a", "b", "both"])
+
+    out = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    return out.mapInArrow(check, "a long, b long, both long")
 
 
 def _representatives(base: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
@@ -334,10 +349,11 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Texts without shingles stay. Repeated rows count as one component's rows, so one of them stays.
     """
     prepare(docs.sparkSession)
-    docs = settle(docs.withColumn("keep_tag", F.monotonically_increasing_id()))
+    tag = fresh("keep_tag", docs)
+    docs = settle(docs.withColumn(tag, F.monotonically_increasing_id()))
     # The tag goes where the id was, so that rows of equal or null ids are told apart.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("keep_tag").alias("tag"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(tag).alias("tag"))
     with scratch(docs.sparkSession):
         found = _labelled(docs.select(order.alias("doc_id"), "text"), p)
-        chosen = settle(found.where("n = 0 OR doc_id = component_id").select(F.col("doc_id.tag").alias("keep_tag")), lasting=True)
-    return docs.join(chosen, "keep_tag", "left_semi").drop("keep_tag")
+        chosen = settle(found.where("n = 0 OR doc_id = component_id").select(F.col("doc_id.tag").alias(tag)), lasting=True)
+    return docs.join(chosen, tag, "left_semi").drop(tag)

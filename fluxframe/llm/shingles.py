@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20  # bytes that are hashed together
+PIECE = 1 << 18  # bytes that are hashed together
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE[[32, 9, 10, 11, 12, 13]] = 0
