@@ -3,27 +3,35 @@
 A byte goes if it is covered by a string of `length` bytes (400) that also starts anywhere else in the corpus. Each such
 string (window) is assigned to its least 32-gram by hash, the leftmost of equals, so equal windows meet wherever they
 stand. Neighbouring windows with the same least 32-gram form a segment of text. It is cut in two by where the windows lie
-around the 32-gram, so that all windows of a part also share 216 bytes, whose hash is the part's group.
+around the 32-gram, so that all windows of a part also share about half their bytes, whose hash is the part's group.
 
 1. Parts of groups that occur once go: nothing of them repeats. This is one count with map-side combining.
-2. Parts whose whole content occurs twice or more repeat in full; their count is pre-aggregated, and copies are not sent.
-3. The other groups hold different contents. Their bytes are read again (named by a Bloom filter of fixed size), each
-   content once. In each group the suffixes that start a window are sorted into a suffix array with common prefixes of
-   neighbours, and a stack scan builds the common-prefix interval tree. An interval of depth 400 or more whose
-   occurrences are preceded by different bytes is a maximal repeat, with all its occurrences.
-4. A group of very many different contents is not sorted in one task: its windows are hashed and counted instead, which
-   is exact too.
+2. Equal contents are pre-aggregated: a content that occurs twice is a maximal repeat by itself, and is sent once.
+3. Groups of different contents have their bytes read again (named by a Bloom filter of fixed size), each content once.
+   A group of more than `task_kinds` contents is split: its windows, by where they lie around the 32-gram, fall into
+   halves that share more bytes and so form finer groups of shorter contents, of which equal ones are joined again. This
+   goes on until each piece fits a task, down to single windows at most, so no group is too large and none is left out.
+4. In each group, the suffixes that start a window form a suffix array, by prefix doubling over the windows' names, with
+   the common prefixes of neighbours. (Windows are named by 128-bit hashes. Suffixes of different windows never share
+   `length` bytes, so the order among names does not matter.) A stack scan builds the common-prefix interval tree; an
+   interval whose occurrences are preceded by different bytes is a maximal repeat, with all its occurrences.
 5. The repeats' spans are joined back to the occurrences, merged within each document, and cut out.
 
+Shorter passages that documents share are found in the same way with `passage` bytes (280, about 50 words) and reported
+as `n_shared`, without being cut out. Only documents with `length` bytes of passages in a row can hold a longer repeat, so
+the search for those reads no others.
+
 Defined cases: a null text is empty; texts under 400 bytes lose nothing; texts of any length are read whole, in slices;
 each row is a document of its own, so repeated rows (and all exact copies) of 400 bytes or more go wholly; ties in the
-hash go to the left; an empty table gives no rows; null ids are allowed; extra columns are ignored.
+hash go to the left; an empty table gives no rows; null ids are allowed; extra columns are ignored. Rows of equal id and
+text count as one document in `n_shared`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +43,61 @@ from .common import prepare, settle, strings
 from .shingles import BYTE, gathered, mix
 
 GRAM = 32
-SLICE = 1 << 20  # windows that are placed together
+SLICE = 1 << 18  # bytes that are placed together
 PLACE_BITS = 21
 _rng = np.random.default_rng(400)
-LEVEL = _rng.integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-CONTEXT = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LEVEL = _rng.integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CONTEXT = _rng.integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+NAME = _rng.integers(1, 1 << 62, (2, 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTES = BYTE.copy()
 BYTES[BYTES == 0] = _rng.integers(1, 1 << 62, int((BYTES == 0).sum()), dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
 
 
 @dataclass(frozen=True)
 class Params:
     length: int = 400
-    sorted_kinds: int = 512  # different contents of a group that are sorted in one task
+    passage: int = 280
+    task_kinds: int = 128  # different contents of a group that are sorted together; larger groups are split
     bloom_bits: int = 25
 
 
-def _parts(data: bytes, p: Params):
-    """(begin of first window, windows, group) of each part of a text, as arrays."""
-    n = len(data) - p.length + 1
+def _power(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64."""
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)))
+    return _powers[base]
+
+
+def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Groups of (text, place in it) and pieces of at least `length` bytes, of about SLICE bytes together. Longer texts
+    are cut into pieces that overlap, so that each window is in one piece."""
+    at, pieces, size = [], [], 0
+    for i, t in enumerate(texts):
+        for x in range(0, len(t) - length + 1, SLICE):
+            piece = t if len(t) < SLICE + length else t[x : x + SLICE + length - 1]
+            if size and size + len(piece) > SLICE:
+                yield at, pieces
+                at, pieces, size = [], [], 0
+            at.append((i, x))
+            pieces.append(piece)
+            size += len(piece)
+    if size:
+        yield at, pieces
+
+
+def _parts(texts: list[bytes], p: Params):
+    """(text, begin of first window, windows, group, anchor, content) of each part of the texts, as arrays.
+
+    group names the bytes that all windows of the part share; anchor is where these begin, from the part's begin; content
+    names all of the part's bytes.
+    """
     side = p.length // 2 - GRAM // 2  # 184 of 400: windows that begin so far before the 32-gram, or nearer
-    for at in range(0, max(n, 0), SLICE):
-        windows = min(SLICE, n - at)
-        b = np.frombuffer(data, np.uint8, windows + p.length - 1, at)
-        h = BYTES[b]
-        size, eights = 1, None
+    for places, pieces in _blocks(texts, p.length):
+        b = np.frombuffer(b"".join(pieces), np.uint8)
+        values = BYTES[b]
+        h, size, eights = values, 1, None
         for level in range(5):
             h = h[:-size] * LEVEL[level] + h[size:]
             size *= 2
@@ -67,30 +105,39 @@ def _parts(data: bytes, p: Params):
                 eights = h
         key = (mix(h) & np.uint64(-1 << PLACE_BITS & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
         w = p.length - GRAM + 1
+        windows = len(b) - p.length + 1
         rows = -(-len(key) // w)
         padded = np.full(rows * w, np.uint64(-1 & (1 << 64) - 1))
         padded[: len(key)] = key
         grid = padded.reshape(rows, w)
         ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
         behind = np.minimum.accumulate(grid, axis=1).ravel()[w - 1 : w - 1 + windows]
-        least = (np.minimum(ahead, behind) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
-        last = np.append(first[1:], windows) - 1
+        sizes = np.array([len(x) for x in pieces])
+        starts = np.cumsum(sizes) - sizes
+        own = sizes - p.length + 1  # windows that do not leave their piece
+        at = np.arange(own.sum()) + np.repeat(starts - (np.cumsum(own) - own), own)
+        least = (np.minimum(ahead[at], behind[at]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first = np.append(0, np.flatnonzero((least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)) + 1)
+        last = at[np.append(first[1:], len(at)) - 1]
         gram = least[first]
+        first = at[first]
         cut = gram - side
-        far = np.stack([first, np.minimum(last, cut)], 1)
-        near = np.stack([np.maximum(first, cut + 1), last], 1)
-        begin = np.concatenate([far[:, 0], near[:, 0]])
-        end = np.concatenate([far[:, 1], near[:, 1]])
+        begin = np.concatenate([first, np.maximum(first, cut + 1)])
+        end = np.concatenate([np.minimum(last, cut), last])
         shared = np.concatenate([cut, gram])
         kind = np.repeat(np.array([1, 2], np.uint64), len(first))
         ok = begin <= end
         begin, end, shared, kind = begin[ok], end[ok], shared[ok], kind[ok]
-        steps = (side + GRAM) // 8
         group = kind.copy()
-        for k in range(steps):
+        for k in range((side + GRAM) // 8):
             group += eights[shared + 8 * k] * CONTEXT[k]
-        yield begin + at, end - begin + 1, mix(group).view(np.int64)
+        sums = np.append(np.uint64(0), np.cumsum(values * _power(BASE, SLICE + p.length)[: len(b)]))
+        stop = end + p.length
+        content = (sums[stop] - sums[begin]) * _power(pow(BASE, -1, 1 << 64), SLICE + p.length)[begin]
+        content = mix(content + (stop - begin).astype(np.uint64) * CONTEXT[-1])
+        piece = np.searchsorted(starts, begin, "right") - 1
+        text, moved = np.array(places).T
+        yield text[piece], begin - starts[piece] + moved[piece], end - begin + 1, mix(group).view(np.int64), shared - begin, content.view(np.int64)
 
 
 def _bytes(texts: list[str]) -> list[bytes]:
@@ -102,25 +149,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def _content(data: bytes, a: int, b: int) -> int:
-    return xxhash.xxh3_64_intdigest(data[a:b]) - (1 << 63)
-
-
 def _scan_parts(keyed: DataFrame, p: Params) -> DataFrame:
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             ids, keys = b.column(0), b.column(1)
-            row, begin, count, group, content = [], [], [], [], []
-            for i, data in enumerate(_bytes(strings(b, "text"))):
-                for a, n, g in _parts(data, p):
-                    row.append(np.full(len(a), i))
-                    begin.append(a), count.append(n), group.append(g)
-                    content += [_content(data, x, y) for x, y in zip(a.tolist(), (a + n + p.length - 1).tolist())]
-            if row:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(np.concatenate(group)), pa.array(content, pa.int64()), pa.array(np.concatenate(begin)), pa.array(np.concatenate(count).astype(np.int32))], ["doc_id", "key", "g", "c", "begin", "windows"])
+            for row, begin, n, g, _, c in _parts(_bytes(strings(b, "text")), p):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(g), pa.array(c), pa.array(begin), pa.array(n.astype(np.int32))], ["doc_id", "key", "g", "c", "begin", "windows"])
 
     return keyed.mapInArrow(run, f"doc_id {kind}, key long, g long, c long, begin long, windows int")
 
@@ -130,101 +167,187 @@ def _cells(g: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mix(u + CONTEXT[i]) >> np.uint64(64 - bits) for i in range(4)], 1).astype(np.int64)
 
 
-def _read_segments(keyed: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """g, c, data of the wanted (g, c), once each."""
+def _bloom(keys: DataFrame, bits: int):
+    """A broadcast Bloom filter of a column of longs, of fixed size."""
 
     def fill(out: np.ndarray, b: pa.RecordBatch) -> None:
-        at = _cells(b.column(0).to_numpy(zero_copy_only=False), p.bloom_bits).ravel()
+        at = _cells(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    shared = keyed.sparkSession.sparkContext.broadcast(gathered(wanted.select("g"), 1 << (p.bloom_bits - 3), "u1", fill, "or"))
+    return keys.sparkSession.sparkContext.broadcast(gathered(keys, 1 << (bits - 3), "u1", fill, "or"))
+
+
+def _known(filter_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    at = _cells(keys, bits)
+    return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+
+
+def _read_segments(keyed: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """g, c, anchor, data and wanted's other columns of the wanted (g, c), once each."""
+    shared = _bloom(wanted.select("g"), p.bloom_bits)
 
     def run(batches):
-        bits = shared.value
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            out = []
-            for data in _bytes(strings(b, "text")):
-                for a, n, g in _parts(data, p):
-                    at = _cells(g, p.bloom_bits)
-                    hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
-                    for x, y, k in zip(a[hit].tolist(), (a + n + p.length - 1)[hit].tolist(), g[hit].tolist()):
-                        c = _content(data, x, y)
-                        if (k, c) not in seen:
-                            seen.add((k, c))
-                            out.append((k, c, data[x:y]))
-            if len(seen) > 500_000:
-                seen.clear()
-            for i in range(0, len(out), 4096):
-                rows = out[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["g", "c", "data"])
-
-    found = keyed.select("text").mapInArrow(run, "g long, c long, data binary")
-    return found.join(wanted, ["g", "c"]).dropDuplicates(["g", "c"]).select("g", "c", "data", "kinds")
-
-
-def suffix_array(texts: list[bytes], length: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """The suffixes of at least `length` bytes as (text, begin), sorted, and each one's common prefix with the one before."""
-    at = [(i, s) for i, t in enumerate(texts) for s in range(len(t) - length + 1)]
-    keys = [texts[i][s:] for i, s in at]
-    order = sorted(range(len(at)), key=keys.__getitem__)
-    lcp = [0] * len(order)
-    for r in range(1, len(order)):
-        x, y = keys[order[r - 1]], keys[order[r]]
-        if x[:length] == y[:length]:
-            n = min(len(x), len(y))
-            lo = length
-            while lo < n:  # doubling steps, then halving
-                step = 1
-                while lo + step <= n and x[lo : lo + step] == y[lo : lo + step]:
-                    lo += step
-                    step *= 2
-                if step == 1:
-                    break
-            lcp[r] = lo
-        else:
-            lcp[r] = 0  # shorter than `length`: ends every interval
-    return [at[i] for i in order], lcp
-
-
-def maximal_repeats(texts: list[bytes], length: int):
-    """(depth, [(text, begin), ...]) of each maximal repeat of at least `length` bytes among the texts.
+            texts = _bytes(strings(b, "text"))
+            for row, begin, n, g, anchor, c in _parts(texts, p):
+                hit = np.flatnonzero(_known(shared.value, g, p.bloom_bits))
+                out = []
+                for k, i, x, y, name, a in zip(hit.tolist(), row[hit].tolist(), begin[hit].tolist(), (begin + n + p.length - 1)[hit].tolist(), zip(g[hit].tolist(), c[hit].tolist()), anchor[hit].tolist()):
+                    if name not in seen:
+                        seen.add(name)
+                        out.append((*name, a, texts[i][x:y]))
+                if len(seen) > 200_000:
+                    seen.clear()
+                for i in range(0, len(out), 4096):
+                    cols = list(zip(*out[i : i + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["g", "c", "anchor", "data"])
+
+    found = keyed.select("text").mapInArrow(run, "g long, c long, anchor int, data binary")
+    return found.join(wanted, ["g", "c"]).dropDuplicates(["g", "c"])
+
+
+@dataclass
+class SuffixArray:
+    place: np.ndarray  # of each window in the joined texts, in text order
+    left: np.ndarray  # windows from it on to its text's last
+    order: np.ndarray  # numbers of windows, sorted
+    lcp: np.ndarray  # bytes that a sorted window's suffix shares with the one before; 0 if under `length`
+
+
+def _names(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the `length` bytes from each place on: doubled, then put together from powers of two."""
+    out = []
+    for factors in NAME:
+        h, size, level = BYTES[b], 1, 0
+        total, done, rest = np.zeros(max(len(b) - length + 1, 0), np.uint64), 0, length
+        while rest:
+            if rest & 1:  # the piece of `size` bytes behind those put together so far
+                total += h[done : done + len(total)] * factors[16 + level]
+                done += size
+            rest >>= 1
+            if rest:
+                h = mix(h[:-size] * factors[level] + h[size:])
+                size, level = size * 2, level + 1
+        out.append(mix(total))
+    return out[0], out[1]
+
+
+def suffix_array(texts: list[bytes], length: int) -> SuffixArray:
+    """The suffixes of at least `length` bytes, by prefix doubling over the names of their windows."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    windows = np.maximum(sizes - length + 1, 0)
+    n = int(windows.sum())
+    number = np.arange(n)
+    place = number + np.repeat(starts - (np.cumsum(windows) - windows), windows)
+    left = np.repeat(np.cumsum(windows), windows) - number
+    if not n:
+        return SuffixArray(place, left, number, number)
+    one, two = (h[place] for h in _names(np.frombuffer(b"".join(texts), np.uint8), length))
+    order = np.lexsort((two, one))
+    new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
+    rank = np.zeros(n, np.int64)  # 1 + the place in the order of the first suffix that is equal so far
+    rank[order] = np.maximum.accumulate(np.where(new, number, 0)) + 1
+    ranks, size = [rank], 1
+    while size < int(windows.max()):
+        tied = np.bincount(rank, minlength=n + 2)[rank] > 1
+        slots = np.flatnonzero(tied[order])
+        if not len(slots):
+            break
+        own = order[slots]
+        after = np.where(left[own] > size, rank[np.minimum(own + size, n - 1)], 0)
+        by = np.lexsort((after, rank[own]))
+        own, after, before = own[by], after[by], rank[own[by]]
+        order[slots] = own
+        new = np.append(True, (before[1:] != before[:-1]) | (after[1:] != after[:-1]))
+        rank = rank.copy()
+        rank[own] = np.maximum.accumulate(np.where(new, slots, 0)) + 1
+        ranks.append(rank)
+        size *= 2
+    x, y = order[:-1], order[1:]
+    same = np.zeros(max(n - 1, 0), np.int64)
+    near = np.flatnonzero(ranks[0][x] == ranks[0][y])
+    x, y, l = x[near], y[near], same[near]
+    for k in range(len(ranks) - 1, -1, -1):
+        i, j = np.minimum(x + l, n - 1), np.minimum(y + l, n - 1)
+        l = l + ((left[x] > l) & (left[y] > l) & (ranks[k][i] == ranks[k][j])) * (1 << k)
+    same[near] = length - 1 + np.minimum(np.minimum(l, left[x]), left[y])
+    return SuffixArray(place, left, order, np.append(0, same))
+
+
+def intervals(lcp: list[int], before: list[int], low: list[int], high: list[int]) -> Iterator[tuple[int, int, int, bool]]:
+    """(depth, first rank, end, whether `low` and `high` differ) of each maximal repeat.
 
     A stack scan of the common prefixes opens and closes the intervals of the tree. An interval is reported if its
-    occurrences are preceded by different bytes, or one by none; it cannot be extended to the right either, since the
-    next interval inside of it is deeper.
+    occurrences are preceded by different bytes, or one by none (-1); it cannot be extended to the right either, since
+    the next interval inside of it is deeper. Ranks without a common prefix open nothing.
     """
-    sa, lcp = suffix_array(texts, length)
-
-    def before(r: int) -> int:
-        i, s = sa[r]
-        return texts[i][s - 1] if s else -1  # -1: diverse
-
-    stack: list[list[int]] = []  # depth, first rank, byte before all of its occurrences or -1
-    for r in range(1, len(sa) + 1):
-        depth = lcp[r] if r < len(sa) else 0
-        begin, left = r - 1, before(r - 1)
+    stack: list[list[int]] = []  # depth, first rank, byte before all of its occurrences or -1, least low, most high
+    n = len(lcp)
+    for r in range(1, n + 1):
+        depth = lcp[r] if r < n else 0
+        if not depth and not stack:
+            continue
+        begin, left, lo, hi = r - 1, before[r - 1], low[r - 1], high[r - 1]
+        top = stack[-1] if stack else None
+        if top:  # the suffix before belongs to the deepest open interval
+            top[2] = top[2] if top[2] == left else -1
+            top[3], top[4] = min(top[3], lo), max(top[4], hi)
         while stack and stack[-1][0] > depth:
-            d, begin, l = stack.pop()
-            left = l if l == left else -1
+            d, begin, left, lo, hi = stack.pop()
             if left == -1:
-                yield d, sa[begin:r]
+                yield d, begin, r, lo != hi
             if stack and stack[-1][0] >= depth:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == left else -1
-        if depth:
-            if not stack or stack[-1][0] < depth:
-                stack.append([depth, begin, left])
-            else:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == left else -1
+                top = stack[-1]
+                top[2] = top[2] if top[2] == left else -1
+                top[3], top[4] = min(top[3], lo), max(top[4], hi)
+        if depth and (not stack or stack[-1][0] < depth):
+            stack.append([depth, begin, left, lo, hi])
+
 
+def _tree(texts: list[bytes], low: np.ndarray, high: np.ndarray, length: int):
+    """The suffix array, and its intervals over texts whose documents have keys from low to high."""
+    sa = suffix_array(texts, length)
+    text = np.repeat(np.arange(len(texts)), np.maximum(np.array([len(t) for t in texts], np.int64) - length + 1, 0))
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    begins = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+    before = np.where(begins, -1, joined[sa.place - 1].astype(np.int64)) if len(text) else np.zeros(0, np.int64)
+    of = text[sa.order]
+    return sa, text, intervals(sa.lcp.tolist(), before[sa.order].tolist(), low[of].tolist(), high[of].tolist())
 
-def _covered(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """Merged spans of each text that maximal repeats cover."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for depth, where in maximal_repeats(texts, length):
-        for i, s in where:
-            spans[i].append((s, s + depth))
-    return [merge(x) for x in spans]
+
+def maximal_repeats(texts: list[bytes], length: int):
+    """(depth, [(text, begin), ...]) of each maximal repeat of at least `length` bytes among the texts."""
+    own = np.arange(len(texts))
+    sa, text, found = _tree(texts, own, own, length)
+    starts = np.cumsum([0, *map(len, texts)])
+    for depth, lo, hi, _ in found:
+        at = sa.order[lo:hi]
+        yield depth, list(zip(text[at].tolist(), (sa.place[at] - starts[text[at]]).tolist()))
+
+
+def covered(texts: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(whether shared, text, begin, end) of the merged spans that maximal repeats cover: of all of them, and of those that
+    stand in different documents."""
+    sa, text, found = _tree(texts, low, high, length)
+    reach = np.zeros((2, len(text)), np.int64)
+    for depth, lo, hi, shared in found:
+        at = sa.order[lo:hi]
+        reach[0, at] = np.maximum(reach[0, at], depth)
+        if shared:
+            reach[1, at] = np.maximum(reach[1, at], depth)
+    starts = np.cumsum([0, *map(len, texts)])
+    for k in (0, 1):
+        at = np.flatnonzero(reach[k])
+        if not len(at):
+            continue
+        begin, of = sa.place[at], text[at]
+        upto = np.maximum.accumulate(begin + reach[k, at])
+        new = np.append(True, (begin[1:] > upto[:-1]) | (of[1:] != of[:-1]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        yield bool(k), of[first], begin[first] - starts[of[first]], upto[last] - starts[of[first]]
 
 
 def merge(spans) -> list[tuple[int, int]]:
@@ -238,100 +361,166 @@ def merge(spans) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = "array<struct<a:int,b:int>>"
+TOGETHER = 1 << 19  # bytes of groups that are sorted together
+FOUND = "g long, c long, a int, b int, shared boolean"
 
 
-def _trees(segments: DataFrame, p: Params) -> DataFrame:
-    """g, c, spans: of each group of at most p.sorted_kinds contents, what repeats between them or within them."""
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+def _trees(pieces: DataFrame, p: Params) -> DataFrame:
+    """FOUND of pieces (g, c, k, low, high, data), whose groups fit a task: what repeats between a group's contents or
+    within them. Whole groups are sorted together with others; windows of different groups are never equal."""
 
     def run(batches):
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
+        size = 0
 
         def done():
-            rows = []
-            if len(held) > 0:
-                for (g, c, _), spans in zip(held, _covered([x[2] for x in held], p.length)):
-                    if spans:
-                        rows.append((g, c, [{"a": a, "b": b} for a, b in spans]))
+            if not held:
+                return
+            g, c, k, low, high, data = zip(*held)
+            g, c, k = np.array(g), np.array(c), np.array(k)
+            low, high = np.array(low), np.array(high)
             held.clear()
-            return rows
+            for shared, of, a, b in covered(list(data), low, high, p.length):
+                # A content that occurs twice, or in two documents, is reported as a whole already.
+                ok = (low[of] == high[of]) if shared else (k[of] == 1)
+                of, a, b = of[ok], a[ok], b[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(g[of]), pa.array(c[of]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(of), shared))], ["g", "c", "a", "b", "shared"])
 
-        out = []
         for b in batches:
-            for g, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if held and held[0][0] != g:
-                    out += done()
-                held.append((g, c, data))
-            if len(out) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], kind)], ["g", "c", "spans"])
-                out = []
-        out += done()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], kind)], ["g", "c", "spans"])
+            for row in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                if held and held[-1][0] != row[0] and size > TOGETHER:
+                    yield from done()
+                    size = 0
+                held.append(row)
+                size += len(row[5])
+        yield from done()
+
+    return pieces.select("g", "c", "k", "low", "high", "data").repartition(F.col("g")).sortWithinPartitions("g", "c").mapInArrow(run, FOUND)
+
+
+def _whole(contents: DataFrame, p: Params) -> DataFrame:
+    """FOUND of contents (g, c, k, low, high, windows) that repeat as a whole."""
+    rows = contents.where("k > 1").select("g", "c", F.lit(0).alias("a"), (F.col("windows") + p.length - 1).cast("int").alias("b"), F.explode(F.when(F.expr("low <> high"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("shared"))
+    return rows
+
 
-    small = segments.where(F.col("kinds") <= p.sorted_kinds).select("g", "c", "data")
-    return small.repartition(F.col("g")).sortWithinPartitions("g", "c").mapInArrow(run, f"g long, c long, spans {SPANS}")
+PIECE = "g long, c long, k long, low long, high long, anchor int, least int, span int, data binary"
 
 
-def _counted(segments: DataFrame, p: Params) -> DataFrame:
-    """g, c, spans of the larger groups: each window's 128-bit hash is counted, with map-side combining."""
+def _halves(pieces: DataFrame, p: Params) -> DataFrame:
+    """Both halves of each piece, by the distance of its windows' begins to the anchor, with the piece (pg, pc) and where
+    the half begins in it (shift)."""
 
     def run(batches):
         for b in batches:
-            for g, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                n = len(data) - p.length + 1
-                h = [xxhash.xxh3_128_digest(data[s : s + p.length]) for s in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(h, pa.binary())], ["g", "c", "s", "h"])
-
-    windows = segments.where(F.col("kinds") > p.sorted_kinds).select("g", "c", "data").mapInArrow(run, "g long, c long, s int, h binary")
-    windows = settle(windows)
-    twice = settle(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
-    hits = windows.join(twice, "h", "left_semi")
-    return hits.groupBy("g", "c").agg(F.collect_list(F.struct(F.col("s").alias("a"), (F.col("s") + p.length).cast("int").alias("b"))).alias("spans"))
+            out = []
+            for g, c, k, low, high, anchor, least, span, data in zip(*[b.column(i).to_pylist() for i in range(9)]):
+                n, half = len(data) - p.length + 1, span // 2
+                for x in (least, least + half):
+                    # Windows at distances x to x + half - 1, as far as there are any, and the bytes that all such share.
+                    i0, i1 = max(0, anchor - x - half + 1), min(n - 1, anchor - x)
+                    if i0 > i1:
+                        continue
+                    part = data[i0 : i1 + p.length]
+                    h = xxhash.xxh3_64(data[anchor - x : anchor - x - half + 1 + p.length], seed=g & (1 << 64) - 1)
+                    h.update(x.to_bytes(4, "little"))
+                    out.append((h.intdigest() - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), k, low, high, anchor - i0, x, half, part, g, c, i0))
+            if out:
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["g", "c", "k", "low", "high", "anchor", "least", "span", "data", "pg", "pc", "shift"])
+
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    return pieces.select(*names).mapInArrow(run, f"{PIECE}, pg long, pc long, shift int")
+
+
+def _found(pieces: DataFrame, p: Params) -> DataFrame:
+    """FOUND of pieces with the size (kinds) of their groups, however large."""
+    out = _trees(pieces.where(F.col("kinds") <= p.task_kinds), p)
+    large = pieces.where(F.col("kinds") > p.task_kinds)
+    if large.isEmpty():
+        return out
+    halves = settle(_halves(large, p))
+    same = [F.first(x).alias(x) for x in ("anchor", "least", "span", "data")]
+    contents = settle(halves.groupBy("g", "c").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"), *same))
+    sizes = contents.groupBy("g").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("low = high")).alias("some")).where("kinds > 1 AND some")
+    smaller = settle(contents.join(sizes.select("g", "kinds"), "g"))
+    windows = contents.withColumn("windows", F.octet_length("data") - (p.length - 1))
+    inside = _whole(windows, p).union(_found(smaller, p))
+    back = halves.select("pg", "pc", "g", "c", "shift").join(inside, ["g", "c"])
+    return out.union(back.select(F.col("pg").alias("g"), F.col("pc").alias("c"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "shared").distinct())
 
 
 def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, key, spans (array of begin, end in bytes) of the rows that lose something; one row for equal rows."""
-    keyed = _keyed(docs)
+    """doc_id, key, spans (a set of begin, end in bytes, shared) of the rows that hold repeats of p.length bytes; one row
+    for equal rows. Spans with `shared` are of repeats that another document holds too; the others are of all repeats."""
+    prepare(docs.sparkSession)
+    return _repeated(_keyed(docs), p)
+
+
+def _repeated(keyed: DataFrame, p: Params) -> DataFrame:
     parts = settle(_scan_parts(keyed, p))
     twice = settle(parts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
     hits = settle(parts.join(twice, "g", "left_semi"))
-    kinds = settle(hits.groupBy("g", "c").agg(F.count("*").alias("k"), F.min("windows").alias("windows")))
-    open_ = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("k").alias("k")).where("kinds > 1 AND k = 1").select("g", "kinds")
-    wanted = settle(kinds.join(settle(open_), "g").select("g", "c", "kinds"))
-    segments = settle(_read_segments(keyed, wanted, p))
-    whole = kinds.where("k > 1").select("g", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + p.length - 1).cast("int").alias("b"))).alias("spans"))
-    some = _trees(segments, p).union(_counted(segments, p)).join(kinds.where("k = 1").select("g", "c"), ["g", "c"], "left_semi")
-    found = settle(whole.union(some))
+    kinds = settle(hits.groupBy("g", "c").agg(F.count("*").alias("k"), F.min("windows").alias("windows"), F.min("key").alias("low"), F.max("key").alias("high")))
+    open_ = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("low = high")).alias("some")).where("kinds > 1 AND some").select("g", "kinds")
+    wanted = settle(kinds.join(settle(open_), "g").select("g", "c", "k", "low", "high", "kinds"))
+    span = 1 << (p.length // 2).bit_length()
+    pieces = settle(_read_segments(keyed, wanted, p).withColumns({"least": F.lit(0), "span": F.lit(span)}))
+    found = settle(_whole(kinds, p).union(_found(pieces, p)))
     spans = hits.select("doc_id", "key", "g", "c", "begin").join(found, ["g", "c"])
-    spans = spans.select("doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("begin")).alias("a"), (s["b"] + F.col("begin")).alias("b")))).alias("span"))
-    return spans.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    spans = spans.select("doc_id", "key", F.struct((F.col("a") + F.col("begin")).alias("a"), (F.col("b") + F.col("begin")).alias("b"), "shared").alias("span"))
+    return spans.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"))
 
 
-def _joined(docs: DataFrame, p: Params) -> DataFrame:
-    prepare(docs.sparkSession)
-    found = settle(repeated(docs, p)).select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "spans")
-    return _keyed(docs).join(found, F.expr("key = key2 AND doc_id <=> id2"), "left").select("doc_id", "text", "spans")
+def _longest(spans: list[dict]) -> int:
+    return max((b - a for a, b in merge((s["a"], s["b"]) for s in spans if not s["shared"])), default=0)
+
+
+def _candidates(keyed: DataFrame, passages: DataFrame, p: Params) -> DataFrame:
+    """The rows of keyed that hold p.length bytes of passages in a row, and the few more that a Bloom filter lets through.
+    All bytes of a longer repeat are covered by passages that repeat, so no other row holds any."""
+
+    def long(batches):
+        for b in batches:
+            ok = pa.array([_longest(x) >= p.length for x in b.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok)], ["key"])
+
+    shared = _bloom(passages.select("key", "spans").mapInArrow(long, "key long"), p.bloom_bits)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_known(shared.value, b.column(1).to_numpy(zero_copy_only=False), p.bloom_bits)))
+
+    return keyed.mapInArrow(run, keyed.schema)
 
 
 def digest(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a row of docs."""
-    rows = _joined(docs, p)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in passages that another document holds too): one
+    row a row of docs."""
+    prepare(docs.sparkSession)
+    keyed = _keyed(docs)
+    passages = settle(_repeated(keyed, replace(p, length=p.passage)))
+    longer = _repeated(_candidates(keyed, passages, p), p)
+    # What is to be cut out, and passages in other documents.
+    cut = passages.select("doc_id", "key", F.filter("spans", lambda s: s["shared"]).alias("passages")).join(longer.withColumnsRenamed({"doc_id": "id2", "key": "key2"}), F.expr("key = key2 AND doc_id <=> id2"), "left")
+    cut = settle(cut.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "passages", F.filter("spans", lambda s: ~s["shared"]).alias("spans")))
+    rows = keyed.join(cut, F.expr("key = key2 AND doc_id <=> id2"), "left").select("doc_id", "text", "spans", "passages")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             out = []
-            for data, spans in zip(_bytes(strings(b, "text")), b.column(2).to_pylist()):
-                cut = merge([(s["a"], s["b"]) for s in spans or ()])
+            for data, spans, passages in zip(_bytes(strings(b, "text")), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                gone = merge((s["a"], s["b"]) for s in spans or ())
                 sha, upto = hashlib.sha256(), 0
-                for x, y in cut:
+                for x, y in gone:
                     sha.update(data[upto:x])
                     upto = y
                 sha.update(data[upto:])
-                out.append((len(data), sum(y - x for x, y in cut), len(cut), sha.hexdigest()))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                shared = sum(y - x for x, y in merge((s["a"], s["b"]) for s in passages or ()))
+                out.append((len(data), sum(y - x for x, y in gone), len(gone), sha.hexdigest(), shared))
+            cols = list(zip(*out)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")

@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +10,7 @@ from fluxframe.llm import suffix_dedup as S
 from fluxframe.llm.suffix_dedup import Params, maximal_repeats, merge
 
 
-def brute(rows, length=400):
+def brute(rows, length=400, passage=280):
     data = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[s : s + length] for _, b in data for s in range(len(b) - length + 1))
     out = []
@@ -22,7 +22,13 @@ def brute(rows, length=400):
             upto = y
         kept += b[upto:]
         out.append((i, len(b), len(b) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=repr)
+    where = defaultdict(set)
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - passage + 1):
+            where[b[s : s + passage]].add((i, t))
+    shared = [sum(y - x for x, y in merge([(s, s + passage) for s in range(len(b) - passage + 1) if len(where[b[s : s + passage]]) > 1])) for _, b in data]
+    return sorted(((*r, n) for r, n in zip(out, shared)), key=repr)
 
 
 def run(spark, rows, p=Params()):
@@ -51,19 +57,41 @@ def test_equals_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-def test_large_groups_are_counted_instead(spark):
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_large_groups_are_split(spark, kinds):
     rows = corpus(3)
-    assert run(spark, rows, Params(sorted_kinds=1)) == brute(rows)
+    assert run(spark, rows, Params(task_kinds=kinds)) == brute(rows)
+
+
+def test_many_near_copies_and_many_equal_rows(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(9, base)] * 2000
+    for i in range(1500):
+        k, j = rng.randrange(700), rng.randrange(700)
+        t = base[:k] + rng.choice("XYZ") + base[k + 1 :]
+        rows.append((10 + i, t[:j] + rng.choice("UVW") + t[j + 1 :]))
+    assert run(spark, rows) == brute(rows)
 
 
 def test_slices_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(S, "SLICE", 150)
-    data = (b"xyz" * 100 + bytes(range(32, 127)) * 12)[:1500]
-    spans = []
-    for a, n, g in S._parts(data, Params()):
-        assert (n >= 1).all()
-        spans += [(x, x + y) for x, y in zip(a.tolist(), n.tolist())]
-    assert sum(y - x for x, y in spans) == len(data) - 399 and merge(spans) == [(0, len(data) - 399)]
+    data = [(b"xyz" * 100 + bytes(range(32, 127)) * 12)[:1500], b"short", bytes(range(256)) * 2, b"q" * 400]
+    whole = {}
+    for size in (1 << 18, 900, 150):
+        monkeypatch.setattr(S, "SLICE", size)
+        spans = [[] for _ in data]
+        named = {}
+        for row, a, n, g, anchor, c in S._parts(data, Params()):
+            assert (n >= 1).all() and (anchor >= n - 1).all() and (anchor < 185).all()
+            for i, x, y, z, content in zip(row.tolist(), a.tolist(), n.tolist(), g.tolist(), c.tolist()):
+                spans[i].append((x, x + y))
+                for w in range(x, x + y):
+                    named[i, w] = z
+        for i, t in enumerate(data):
+            n = max(len(t) - 399, 0)
+            assert sum(y - x for x, y in spans[i]) == n and merge(spans[i]) == ([(0, n)] if n else [])
+        whole = whole or named
+        assert named == whole
 
 
 def test_empty_table(spark):
