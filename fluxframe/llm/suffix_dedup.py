@@ -361,7 +361,7 @@ def merge(spans) -> list[tuple[int, int]]:
     return out
 
 
-TOGETHER = 1 << 19  # bytes of groups that are sorted together
+TOGETHER = 1 << 19  # bytes of groups that are sorted together, about
 FOUND = "g long, c long, a int, b int, shared boolean"
 
 
@@ -472,8 +472,20 @@ def _repeated(keyed: DataFrame, p: Params) -> DataFrame:
     return spans.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"))
 
 
-def _longest(spans: list[dict]) -> int:
-    return max((b - a for a, b in merge((s["a"], s["b"]) for s in spans if not s["shared"])), default=0)
+def _merged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the merged spans of a column of span lists, null lists left out."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    flat = lists.flatten()
+    a, b = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) + (row << 40) for x in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    a, upto, row = a[order], np.maximum.accumulate(b[order]), row[order]
+    if not len(a):
+        return row, a, b
+    first = np.append(0, np.flatnonzero(a[1:] > upto[:-1]) + 1)
+    last = np.append(first[1:], len(a)) - 1
+    row = row[first]
+    return row, a[first] - (row << 40), upto[last] - (row << 40)
 
 
 def _candidates(keyed: DataFrame, passages: DataFrame, p: Params) -> DataFrame:
@@ -482,10 +494,11 @@ def _candidates(keyed: DataFrame, passages: DataFrame, p: Params) -> DataFrame:
 
     def long(batches):
         for b in batches:
-            ok = pa.array([_longest(x) >= p.length for x in b.column(1).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok)], ["key"])
+            row, x, y = _merged(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.unique(row[y - x >= p.length])))], ["key"])
 
-    shared = _bloom(passages.select("key", "spans").mapInArrow(long, "key long"), p.bloom_bits)
+    all_ = passages.select("key", F.filter("spans", lambda s: ~s["shared"]).alias("spans"))
+    shared = _bloom(all_.mapInArrow(long, "key long"), p.bloom_bits)
 
     def run(batches):
         for b in batches:
@@ -509,18 +522,20 @@ def digest(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for data, spans, passages in zip(_bytes(strings(b, "text")), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone = merge((s["a"], s["b"]) for s in spans or ())
+            data = _bytes(strings(b, "text"))
+            row, x, y = _merged(b.column(2))
+            n_spans = np.bincount(row, minlength=len(data))
+            removed, shared = (np.bincount(i, z - w, len(data)).astype(np.int64) for i, w, z in ((row, x, y), _merged(b.column(3))))
+            cut, at, kept = list(zip(x.tolist(), y.tolist())), 0, []
+            for t, n in zip(data, n_spans.tolist()):
                 sha, upto = hashlib.sha256(), 0
-                for x, y in gone:
-                    sha.update(data[upto:x])
+                for x, y in cut[at : at + n]:
+                    sha.update(t[upto:x])
                     upto = y
-                sha.update(data[upto:])
-                shared = sum(y - x for x, y in merge((s["a"], s["b"]) for s in passages or ()))
-                out.append((len(data), sum(y - x for x, y in gone), len(gone), sha.hexdigest(), shared))
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+                sha.update(t[upto:])
+                kept.append(sha.hexdigest())
+                at += n
+            cols = [pa.array([len(t) for t in data], pa.int64()), pa.array(removed), pa.array(n_spans), pa.array(kept, pa.string()), pa.array(shared)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
