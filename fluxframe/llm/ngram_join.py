@@ -262,18 +262,26 @@ def _representatives(base: DataFrame, classes: DataFrame, p: Params) -> DataFram
     """One row of each class, named by its tag. Rows that a Bloom filter of the other rows' tags does not know stay where
     they are; only those that it knows are joined."""
     copies = base.select("tag", "sig").join(classes.where("k > 1"), "sig").where("tag <> node").select("tag")
-    bits = base.sparkSession.sparkContext.broadcast(_bloom(copies, p.bloom_bits))
     rows = base.where("n > 0").select(F.col("tag").alias("node"), "n", "sig", "common", "prefix", "parts", "bands")
+    away, near = _split(rows, "node", copies, p)
+    return away.unionAll(near.join(classes.select("node"), "node", "left_semi"))
+
+
+def _split(rows: DataFrame, key: str, keys: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is surely not among keys (a column of longs), and those that a Bloom filter of keys knows: all
+    that are, and few others."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bloom(keys, p.bloom_bits))
+    at = rows.columns.index(key)
 
     def known(want: bool):
         def run(batches):
             for b in batches:
-                hit = _in_bloom(bits.value, b.column(0).to_numpy(zero_copy_only=False), p.bloom_bits)
+                hit = _in_bloom(bits.value, b.column(at).to_numpy(zero_copy_only=False), p.bloom_bits)
                 yield b.filter(pa.array(hit == want))
 
         return rows.mapInArrow(run, rows.schema)
 
-    return known(False).unionAll(known(True).join(classes.select("node"), "node", "left_semi"))
+    return known(False), known(True)
 
 
 def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -355,5 +363,7 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(tag).alias("tag"))
     with scratch(docs.sparkSession):
         found = _labelled(docs.select(order.alias("doc_id"), "text"), p)
-        chosen = settle(found.where("n = 0 OR doc_id = component_id").select(F.col("doc_id.tag").alias(tag)), lasting=True)
-    return docs.join(chosen, tag, "left_semi").drop(tag)
+        gone = settle(found.where("n > 0 AND doc_id <> component_id").select(F.col("doc_id.tag").alias(tag)), lasting=True)
+    # Texts that surely stay are not shuffled.
+    stay, rest = _split(docs, tag, gone, p)
+    return stay.unionAll(rest.join(gone, tag, "left_anti")).drop(tag)
