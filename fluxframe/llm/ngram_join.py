@@ -264,7 +264,7 @@ def _representatives(base: DataFrame, classes: DataFrame, p: Params) -> DataFram
     copies = base.select("tag", "sig").join(classes.where("k > 1"), "sig").where("tag <> node").select("tag")
     rows = base.where("n > 0").select(F.col("tag").alias("node"), "n", "sig", "common", "prefix", "parts", "bands")
     away, near = _split(rows, "node", copies, p)
-    return away.unionAll(near.join(classes.select("node"), "node", "left_semi"))
+    return away.unionByName(near.join(classes.select("node"), "node", "left_semi"))
 
 
 def _split(rows: DataFrame, key: str, keys: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
@@ -366,4 +366,4 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
         gone = settle(found.where("n > 0 AND doc_id <> component_id").select(F.col("doc_id.tag").alias(tag)), lasting=True)
     # Texts that surely stay are not shuffled.
     stay, rest = _split(docs, tag, gone, p)
-    return stay.unionAll(rest.join(gone, tag, "left_anti")).drop(tag)
+    return stay.unionByName(rest.join(gone, tag, "left_anti")).drop(tag)
