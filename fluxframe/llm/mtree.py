@@ -1,25 +1,31 @@
-"""Exact top-k search by inner product: an M-tree of paged metric nodes, searched best first.
+"""Exact top-k search by inner product: a forest of M-trees, searched best first.
 
 Inner products become distances by one more coordinate: with M the largest norm, x gets sqrt(M^2 - |x|^2) and a query 0,
 so d(q, x)^2 = |q|^2 + M^2 - 2 q.x, and larger scores are nearer. Objects are integers, so scores are exact.
 
-The upper nodes' routing objects are vectors of a bounded sample; each vector goes to its nearest one, and a routing
-object's entries are dealt into pages of about `page_rows`. A page stores its own routing object, its covering radius
-and distance to the parent, and each entry's distance to the page's routing object. Queries form blocks under the same
-routing objects. A query's score to beat starts as its k-th best in the sample; with it, whole subtrees, pages (by the
-parent distance alone, then by the covering radius) and entries are passed over by the triangle inequality, the nearest
-pages of a block first. Bounds keep a margin for rounding; what is left is scored exactly, in whole numbers where squared
-norms pass 2**53. A score beyond 64 bits among the results is an error.
+The forest's routing objects are vectors of a bounded sample; each vector goes to its nearest one, and a routing object's
+vectors are dealt by hash into trees of about `tree_rows`. A tree is bulk-loaded in one task: a node's vectors are dealt to
+`fan_out` routing objects among them, down to leaf pages of `page_rows`. A node stores its routing object, covering radius
+and distance to its parent's; a page also each entry's distance to the page's routing object, in order. A tree is one row.
 
-Rows are (block, page) pairs, never (query, vector) pairs; a group of equal vectors fills many pages.
+Queries are searched in waves of bounded bytes, which are broadcast; trees stay where they are, and no pair of a query and
+a vector, a page or a tree is ever a row. A wave's queries form blocks of neighbours. A query's score to beat starts as its
+k-th best in the sample. For each block a priority queue holds the nodes still to be visited, by their nearest possible
+object. A node is passed over by the triangle inequality: from stored parent distances without computing any distance,
+then by its covering radius, for the block's queries that are still live; a page's entries by their stored distances.
+Bounds keep a margin for rounding; what is left is scored exactly, in whole numbers where squared norms pass 2**53. A score
+beyond 64 bits among the results is an error.
 
 Defined cases: vectors that are null, empty, of another length than most, or with a null or non-finite component take no
 part; null ids neither; ties go to the smaller id; equal ids are separate candidates but one query, that of the smallest
-vector, and a query never finds rows of its own id; fewer than k candidates give as many rows; an empty table gives no rows; extra columns are ignored.
+vector, and a query never finds rows of its own id; fewer than k candidates give as many rows; many equal vectors fill many
+trees; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, settle
+from .common import prepare, settle, shared_dir
 
 
 @dataclass(frozen=True)
 class Params:
     k: int = 20
-    routes: int = 64  # routing objects of the upper level
+    routes: int = 64  # routing objects of the forest
     sample: int = 2048  # vectors that give routing objects and first scores to beat
-    page_rows: int = 1024
-    block_rows: int = 256
+    tree_rows: int = 16384
+    fan_out: int = 8
+    page_rows: int = 256
+    block_rows: int = 256  # queries that share a queue
+    wave_bytes: int = 8 << 20  # of the queries that are broadcast together
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -72,7 +81,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def _width(most: float) -> type:
     """What holds each component of a vector whose squared norm is at most `most`."""
-    return np.int32 if most < 2**61 else np.int64
+    return np.int16 if most < 2**30 else np.int32 if most < 2**61 else np.int64
 
 
 def _rounding(dim: int, most: float | np.ndarray) -> float | np.ndarray:
@@ -80,7 +89,70 @@ def _rounding(dim: int, most: float | np.ndarray) -> float | np.ndarray:
     return 8 * (dim + 4) * np.finfo(float).eps * most
 
 
-PAGE = "route int, page int, p_ids binary, p_vectors binary, p_centre binary, p_radius double, p_parent double, p_near binary"
+TREE = "t_centre binary, t_radius binary, t_parent binary, t_first binary, t_count binary, t_leaf binary, t_ids binary, t_vectors binary, t_near binary"
+
+
+class Tree:
+    """Nodes in breadth-first order, the children of each side by side; first and count are those of a node's children,
+    or of a page's entries."""
+
+    KINDS = (("centre", np.float64), ("radius", np.float64), ("parent", np.float64), ("first", np.int32), ("count", np.int32), ("leaf", np.bool_), ("ids", np.int64), ("vectors", None), ("near", np.float64))
+
+    def __init__(self, **arrays: np.ndarray):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def load(cls, ids: np.ndarray, x: np.ndarray, most: float, p: Params) -> Tree:
+        by = np.argsort(ids, kind="stable")
+        ids, x = ids[by], x[by]
+        lifted = _lift(x, most)
+        rng = np.random.default_rng(len(ids))
+        centre, radius, parent, first, count, leaf = [], [], [], [], [], []
+        entries, near = [], []
+        work: list[tuple[np.ndarray, int]] = [(np.arange(len(ids)), -1)]  # members and parent of each node to come
+        done = n_entries = 0
+        while done < len(work):
+            at, above = work[done]
+            work[done] = (at[:0], above)
+            done += 1
+            points = lifted[at]
+            c = points[((points - points.mean(0)) ** 2).sum(1).argmin()]
+            d = _distances(points, c[None])[:, 0]
+            centre.append(c)
+            radius.append(d.max())
+            parent.append(0.0 if above < 0 else np.sqrt(((c - centre[above]) ** 2).sum()))
+            leaf.append(len(at) <= p.page_rows or not (points != c).any())
+            if leaf[-1]:
+                order = np.argsort(d, kind="stable")
+                first.append(n_entries)
+                count.append(len(at))
+                entries.append(at[order])
+                near.append(d[order])
+                n_entries += len(at)
+                continue
+            # The farthest vector is one of the routing objects, so that there are two groups at least.
+            seeds = np.unique(np.append(points[rng.choice(len(at), min(p.fan_out - 1, len(at)), replace=False)], points[d.argmax()][None], axis=0), axis=0)
+            if len(seeds) < 2:
+                seeds = np.stack([c, seeds[0]])
+            to = _distances(points, seeds).argmin(1)
+            groups = [at[to == i] for i in range(len(seeds))]
+            groups = [g for g in groups if len(g)]
+            if len(groups) < 2:  # alike up to rounding
+                groups = np.array_split(at, 2)
+            first.append(len(work))
+            count.append(len(groups))
+            work += [(g, done - 1) for g in groups]
+        of = np.concatenate(entries)
+        return cls(centre=np.array(centre), radius=np.array(radius), parent=np.array(parent), first=np.array(first, np.int32), count=np.array(count, np.int32), leaf=np.array(leaf), ids=ids[of], vectors=x[of].astype(_width(most)), near=np.concatenate(near))
+
+    def row(self) -> list[bytes]:
+        return [np.ascontiguousarray(getattr(self, name)).tobytes() for name, _ in self.KINDS]
+
+    @classmethod
+    def read(cls, row: list[bytes], dim: int, most: float) -> Tree:
+        out = {name: np.frombuffer(data, kind or _width(most)) for (name, kind), data in zip(cls.KINDS, row)}
+        out["centre"], out["vectors"] = out["centre"].reshape(-1, dim + 1), out["vectors"].reshape(-1, dim)
+        return cls(**out)
 
 
 def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFrame:
@@ -93,90 +165,77 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
         return spark.createDataFrame([], result)
     dim, most = dims["d"], float(dims["norm"])
     rows = rows.where(F.size("v") == dim)
-    n = dims["n"]
     order = F.xxhash64(F.lit("mtree"), "vec_id")
     sample = rows.orderBy(order, "vec_id").limit(p.sample).toArrow()
     s_ids, s_vec = sample["vec_id"].to_numpy(), _matrix(sample["v"])
     _, first = np.unique(s_vec, axis=0, return_index=True)
     first = np.sort(first)
     route_vec = _lift(s_vec[_spread(_lift(s_vec[first], most), p.routes, first)], most)
-    shared = spark.sparkContext.broadcast((s_ids, s_vec, route_vec, most))
+    shared = spark.sparkContext.broadcast((route_vec, most))
 
     def assign(batches):
-        _, _, routes, most = shared.value
+        routes, most = shared.value
         for b in batches:
-            d = _distances(_lift(_matrix(b.column(1)), most), routes)
-            at = d.argmin(1)
+            at = _distances(_lift(_matrix(b.column(1)), most), routes).argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32))], ["vec_id", "v", "route"])
 
     placed = settle(rows.mapInArrow(assign, "vec_id long, v array<long>, route int"))
     sizes = {r["route"]: r["count"] for r in placed.groupBy("route").count().collect()}
-    pages = F.create_map(*[F.lit(x) for r, c in sizes.items() for x in (r, max(1, -(-c // p.page_rows)))])
-    paged = placed.withColumn("page", F.pmod(F.xxhash64("vec_id", F.lit(7)), pages[F.col("route")]).cast("int"))
+    trees = F.create_map(*[F.lit(x) for r, c in sizes.items() for x in (r, max(1, -(-c // p.tree_rows)))])
+    dealt = placed.withColumn("tree", F.pmod(F.xxhash64("vec_id", "v"), trees[F.col("route")]).cast("int"))
 
     def build(key, t):
-        _, _, routes, most = shared.value
-        ids, x = t["vec_id"].to_numpy(), _matrix(t["v"])
-        by = np.argsort(ids, kind="stable")
-        ids, x = ids[by], x[by]
-        lifted = _lift(x, most)
-        centre = lifted[((lifted - lifted.mean(0)) ** 2).sum(1).argmin()]
-        near = _distances(lifted, centre[None])[:, 0]
-        by = np.argsort(near, kind="stable")
-        row = (key[0].as_py(), key[1].as_py(), ids[by].tobytes(), x[by].astype(_width(most)).tobytes(), centre.tobytes(), float(near.max()), float(np.sqrt(((centre - routes[key[0].as_py()]) ** 2).sum())), near[by].tobytes())
-        names = ["route", "page", "p_ids", "p_vectors", "p_centre", "p_radius", "p_parent", "p_near"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary()]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names)
-
-    tree = settle(paged.groupBy("route", "page").applyInArrow(build, PAGE))
-    radius = {r["route"]: r["r"] for r in tree.groupBy("route").agg(F.max(F.col("p_parent") + F.col("p_radius")).alias("r")).collect()}
-    radii = np.array([radius.get(i, -1.0) for i in range(len(route_vec))])
-
-    def ask(key, t):
-        """A block of queries: their first scores to beat, and the routing objects that some of them must look under."""
-        s_ids, s_vec, routes, most = shared.value
-        ids, x = t["vec_id"].to_numpy(), _matrix(t["v"])
-        scores = x @ s_vec.T
-        scores[ids[:, None] == s_ids[None]] = -np.inf
-        beat = np.partition(scores, -p.k, axis=1)[:, -p.k] if scores.shape[1] >= p.k else np.full(len(ids), -np.inf)
-        if most >= 2**53:
-            beat = beat - _rounding(dim, most)
-        flat = np.hstack([x, np.zeros((len(x), 1))])
-        d = _distances(flat, routes)
-        far = reach(x, beat, most)
-        live = np.flatnonzero(((d - radii[None] <= far[:, None]) & (radii >= 0)[None]).any(0))
-        low = np.maximum(d - radii[None], 0).min(0)
-        out = {"block": pa.array([f"{key[0].as_py()}-{key[1].as_py()}"] * len(live)), "route": pa.array(live.astype(np.int32)), "low": pa.array(low[live])}
-        for name, data in (("q_ids", ids.tobytes()), ("q_vectors", x.astype(_width(most)).tobytes()), ("q_beat", beat.tobytes()), ("q_dist", None)):
-            out[name] = pa.array([data] * len(live) if data is not None else [d[:, i].tobytes() for i in live], pa.binary())
-        return pa.table(out)
-
-    asked = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "route")).alias("q")).select("vec_id", "q.v", "q.route")
-    n_asked = {r["route"]: r["count"] for r in asked.groupBy("route").count().collect()}
-    if not n_asked:
+        names = [x.split()[0] for x in TREE.split(", ")]
+        tree = Tree.load(t["vec_id"].to_numpy(), _matrix(t["v"]), shared.value[1], p)
+        return pa.table([pa.array([x], pa.binary()) for x in tree.row()], names)
+
+    forest = settle(dealt.groupBy("route", "tree").applyInArrow(build, TREE))
+    asked = settle(placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "route")).alias("q")).select("vec_id", "q.v", "q.route"))
+    waves = -(-asked.count() * dim * 8 // p.wave_bytes)
+    if not waves:
         return spark.createDataFrame([], result)
-    blocks = F.create_map(*[F.lit(x) for r, c in n_asked.items() for x in (r, max(1, -(-c // p.block_rows)))])
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(8)), blocks[F.col("route")]).cast("int"))
-    asked = asked.groupBy("route", "part").applyInArrow(ask, "block string, route int, low double, q_ids binary, q_vectors binary, q_beat binary, q_dist binary")
-    pairs = settle(asked).join(tree, "route")
-    tasks = max(2, min(4096, 1 + n // (8 * p.page_rows)))
-    # A block's pages are spread over tasks, and each task takes the block's nearest first.
-    pairs = pairs.repartition(tasks, "block", F.pmod(F.xxhash64("route", "page"), F.lit(8))).sortWithinPartitions("block", "low", "p_parent")
+    at = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    for wave in range(waves):
+        q = asked.where(F.pmod(F.xxhash64(F.lit("wave"), "vec_id"), F.lit(waves)) == wave).orderBy("route", "vec_id").toArrow()
+        if q.num_rows:
+            x = _matrix(q["v"])
+            beat = _first_beats(q["vec_id"].to_numpy(), x, s_ids, s_vec, most, p)
+            sent = spark.sparkContext.broadcast((q["vec_id"].to_numpy(), x.astype(_width(most)), beat))
+            _best_rows(forest.mapInArrow(_visitor(sent, dim, most, p), "query_id long, vec_id long, score long"), p).write.mode("append").parquet(at)
+            sent.destroy()
+    return spark.read.schema(result).parquet(at)
+
+
+def _first_beats(ids: np.ndarray, x: np.ndarray, s_ids: np.ndarray, s_vec: np.ndarray, most: float, p: Params) -> np.ndarray:
+    """Each query's k-th best score in the sample, or less than any where the sample has too few."""
+    out = np.full(len(ids), -np.inf)
+    for lo in range(0, len(ids), 1024):
+        part = slice(lo, lo + 1024)
+        scores = x[part] @ s_vec.T
+        scores[ids[part, None] == s_ids[None]] = -np.inf
+        if scores.shape[1] >= p.k:
+            out[part] = np.partition(scores, -p.k, axis=1)[:, -p.k]
+    return out - _rounding(x.shape[1], most) if most >= 2**53 else out
+
+
+def _visitor(sent, dim: int, most: float, p: Params):
+    """Searches a wave's blocks in each tree of a partition, with the scores to beat that its trees before have left."""
 
     def visit(batches):
-        most = shared.value[3]
-        block, found = None, None
+        ids, x, beat = sent.value
+        blocks = [Block(ids[i : i + p.block_rows], x[i : i + p.block_rows], beat[i : i + p.block_rows], p.k, most) for i in range(0, len(ids), p.block_rows)]
         for b in batches:
-            for r in b.to_pylist():
-                if r["block"] != block:
-                    if found is not None:
-                        yield found.rows()
-                    block, found = r["block"], Block(r, dim, p.k, most)
-                found.page(r)
-        if found is not None:
-            yield found.rows()
-
-    near = pairs.mapInArrow(visit, "query_id long, vec_id long, score long")
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                tree = Tree.read(row, dim, most)
+                for block in blocks:
+                    block.search(tree)
+        for block in blocks:
+            yield block.rows()
+
+    return visit
+
+
+def _best_rows(near: DataFrame, p: Params) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
@@ -208,30 +267,43 @@ def _whole_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Block:
     """One block's search within a task: the k best of each query so far."""
 
-    def __init__(self, r: dict, dim: int, k: int, most: float):
-        self.k, self.most, self.dim = k, most, dim
-        self.ids = np.frombuffer(r["q_ids"], np.int64)
-        self.x = np.frombuffer(r["q_vectors"], _width(most)).reshape(-1, dim).astype(np.float64)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, beat: np.ndarray, k: int, most: float):
+        self.k, self.most, self.dim = k, most, x.shape[1]
+        self.ids, self.x, self.beat = ids, x.astype(np.float64), beat.copy()
         self.flat = np.hstack([self.x, np.zeros((len(self.x), 1))])
-        self.beat = np.frombuffer(r["q_beat"], np.float64).copy()
         self.far = reach(self.x, self.beat, most)
         self.got_ids = [np.zeros(0, np.int64)] * len(self.ids)
         self.got = [np.zeros(0)] * len(self.ids)
 
-    def page(self, r: dict) -> None:
-        centre = np.frombuffer(r["p_centre"], np.float64)
-        # First bound: without a new distance, from the query's and the page's distances to their parent.
-        live = np.flatnonzero(np.abs(np.frombuffer(r["q_dist"], np.float64) - r["p_parent"]) - r["p_radius"] <= self.far)
-        if not len(live):
-            return
-        d = _distances(self.flat[live], centre[None])[:, 0]
-        ok = d - r["p_radius"] <= self.far[live]
-        live, d = live[ok], d[ok]
-        if not len(live):
-            return
-        near = np.frombuffer(r["p_near"], np.float64)
-        ids = np.frombuffer(r["p_ids"], np.int64)
-        x = np.frombuffer(r["p_vectors"], _width(self.most)).reshape(-1, self.dim)
+    def search(self, t: Tree) -> None:
+        """Visits the tree's nodes, the one with the nearest possible object for a live query first."""
+        live = np.arange(len(self.ids))
+        d = _distances(self.flat, t.centre[:1])[:, 0]
+        queue = [(float((d - t.radius[0]).min()), 0, live, d)]
+        while queue:
+            _, node, live, d = heapq.heappop(queue)
+            ok = d - t.radius[node] <= self.far[live]  # scores to beat may have risen since
+            if not ok.any():
+                continue
+            live, d = live[ok], d[ok]
+            lo, hi = int(t.first[node]), int(t.first[node] + t.count[node])
+            if t.leaf[node]:
+                self.page(t, lo, hi, live, d)
+                continue
+            # First bound: without a new distance, from the queries' and the children's distances to this node.
+            far = self.far[live][:, None]
+            maybe = np.abs(d[:, None] - t.parent[lo:hi][None]) - t.radius[lo:hi][None] <= far
+            some = np.flatnonzero(maybe.any(0))
+            if not len(some):
+                continue
+            near = _distances(self.flat[live], t.centre[lo + some])
+            maybe = maybe[:, some] & (near - t.radius[lo + some][None] <= far)
+            for j in np.flatnonzero(maybe.any(0)).tolist():
+                own, child = maybe[:, j], lo + int(some[j])
+                heapq.heappush(queue, (float((near[own, j] - t.radius[child]).min()), child, live[own], near[own, j]))
+
+    def page(self, t: Tree, first: int, end: int, live: np.ndarray, d: np.ndarray) -> None:
+        near, ids, x = t.near[first:end], t.ids[first:end], t.vectors[first:end]
         # Entries are ordered by their distance to the page's routing object; bounds cut a range of them.
         lo = np.searchsorted(near, d - self.far[live], "left")
         hi = np.searchsorted(near, d + self.far[live], "right")

@@ -15,7 +15,7 @@ def found(df):
     return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
 
 
-@pytest.mark.parametrize("p", [mtree.Params(k=5, routes=4, sample=20, page_rows=8, block_rows=3), mtree.Params(k=20)])
+@pytest.mark.parametrize("p", [mtree.Params(k=5, routes=4, sample=20, tree_rows=40, fan_out=3, page_rows=8, block_rows=3, wave_bytes=300), mtree.Params(k=20)])
 def test_topk_equals_brute_force(spark, p):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)) * rng.uniform(0.1, 3, size=(300, 1))
