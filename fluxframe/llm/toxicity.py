@@ -1,13 +1,24 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Small transducers read a clause's tokens and write classes: insult (with a weight learned from labels), threat, target,
-negation and reported speech, in English, German, French and Spanish. Their composition is one automaton whose state is (negated, reported, target, pending
-words): an insult costs more when a target is in the clause, little when negated or reported; a threat needs a target.
-Words of no class are pooled by stem: an arc of the insult transducer may be a prefix that labels show to be toxic when a
-text has one, two or three words with it, in whatever form and clause; negated and reported ones count for a part.
-A text's score is a logistic function of its clauses' and stems' summed weight, fitted on the labelled rows.
+A clause's tokens become classes: insult (with a weight learned from labels), threat, target, negation, reported speech,
+unclassed word, in English, German, French and Spanish. Four small weighted transducers read them, one after the other:
 
-The whole text is scanned for the trigger words and stems; only clauses that hold one are parsed.
+- negation rewrites insults, threats and words in its scope as negated ones and lowers their weight;
+- target raises the insults of a clause that names one, wherever it stands (one branch reads clauses without a target, one
+  accepts only those with one);
+- threat holds a threat until a target follows within reach, which adds its weight; without one it weighs nothing;
+- report lowers all weights of a clause with reported speech (again a branch for either).
+
+`compose` builds their composition, one machine whose arcs carry (scale, add): a token of weight w weighs scale * w + add.
+A clause scores the best accepting path's summed weight (the tropical semiring, with weights in place of costs).
+
+Unclassed words are pooled by stem: a prefix that labels show to be toxic when a text has one, two or three words with
+it, in whatever form and clause; each counts for the scale of its arc on the clause's best path. A text's score is a
+logistic function of its clauses' and stems' summed weight, fitted on the labelled rows.
+
+The whole text is scanned for the trigger words and stems; only clauses that hold one are parsed. Weights are not cut off.
+What is learned comes from a sample of about `train_docs` labelled texts, which bounds the words and stems that can reach
+the least rate, so all of those are kept.
 
 Defined cases: a null or empty text, or one without a matched clause, scores the fitted base rate, below 0.5; a text of
 any length is read whole; repeated rows score alike, and in training equal texts count once; an empty table gives no
@@ -49,9 +60,9 @@ class Params:
     least_rate: float = 0.7  # a learned word's pulled toxic rate, at least
     prior_weight: float = 2.0  # of a grammar's insult that labels say nothing about
     negated: float = 0.15  # part of a weight that is left
-    reported: float = 0.4
+    reported: float = 0.3
     target_gain: float = 1.5
-    threat_weight: float = 2.0
+    threat_gain: float = 1.0  # a threat's weight, as a part of the middle weight of the insults that labels know
     reach: int = 6  # tokens between a negation or threat and what it governs
     repeats: int = 3  # words of one stem in a text that are told apart
     stem_chars: tuple[int, int] = (4, 10)  # of a stem, at least and at most
@@ -63,6 +74,7 @@ class Model:
     slope: float = 1.0
     bias: float = -1.0
     stems: dict[str, list[float]] = field(default_factory=dict)  # weights of one, two, ... words of a stem in a text
+    threat: float = 2.0  # weight of a threat
     pattern: re.Pattern = field(init=False)
 
     def __post_init__(self):
@@ -70,54 +82,127 @@ class Model:
         stems = "|".join(map(re.escape, sorted(self.stems, key=lambda w: (-len(w), w))))
         self.pattern = re.compile(r"\b(?:(?:" + "|".join(map(re.escape, words)) + r")\b" + (f"|(?:{stems})" if stems else "") + ")")
         self.stem = re.compile(stems) if stems else None
-        self.classes = {w: "T" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "K" for w in THREATS} | {w: "I" for w in self.weights}
+        self.classes = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w: THREAT for w in THREATS} | {w: INSULT for w in self.weights}
+        self._machine: tuple[Params, Machine] | None = None
 
+    def machine(self, p: Params) -> Machine:
+        """The composed grammar for these parameters, built once."""
+        if self._machine is None or self._machine[0] != p:
+            self._machine = (p, grammar(p, self.threat))
+        return self._machine[1]
 
-def clause_weight(tokens: list[str], m: Model, p: Params = Params()) -> float:
-    """Runs the composed automaton over one clause."""
-    negated = threat = -p.reach - 1  # where the last one stood
-    reported = target = False
-    plain = held = 0.0
-    for i, t in enumerate(tokens):
-        c = m.classes.get(t.replace("’", "'"))
-        if c is None:
+
+@dataclass(frozen=True)
+class Machine:
+    """A weighted transducer: arcs (input, output, scale, add, next state) by state, and the accepting states."""
+
+    arcs: dict[object, list[tuple[str, str, float, float, object]]]
+    start: object
+    final: frozenset
+
+    def path(self, classes: list[str], weights: list[float]) -> tuple[float, list[float]]:
+        """The best accepting path's weight, and the scale of each token on it; equal paths: the first found."""
+        rows: list[dict] = [{self.start: (0.0, None, 1.0)}]
+        for c, w in zip(classes, weights):
+            row: dict = {}
+            for state, (total, _, _) in rows[-1].items():
+                for a, _, scale, add, to in self.arcs[state]:
+                    if a == c:
+                        x = total + scale * w + add
+                        if to not in row or x > row[to][0]:
+                            row[to] = (x, state, scale)
+            rows.append(row)
+        ends = [s for s in rows[-1] if s in self.final]
+        state = max(ends, key=lambda s: rows[-1][s][0])
+        best, scales = rows[-1][state][0], []
+        for row in rows[:0:-1]:
+            _, before, scale = row[state]
+            scales.append(scale)
+            state = before
+        return best, scales[::-1]
+
+
+def compose(one: Machine, two: Machine) -> Machine:
+    """Reads as `one` and passes its outputs to `two`; of a token that weighs scale * w + add, `two` makes its own."""
+    start = (one.start, two.start)
+    arcs: dict = {}
+    work = [start]
+    while work:
+        state = work.pop()
+        if state in arcs:
             continue
-        if c == "N":
-            negated = i
-        elif c == "R":
-            reported = True
-        elif c == "T":
-            target = True
-            if i - threat <= p.reach:
-                held += p.threat_weight * (p.negated if i - negated <= p.reach and negated < threat else 1.0)
-                threat = -p.reach - 1
-        elif c == "K":
-            threat = i
-        else:
-            plain += m.weights[t] * (p.negated if i - negated <= p.reach else 1.0)
-    w = plain * (p.target_gain if target else 1.0) + held
-    return w * (p.reported if reported else 1.0)
-
-
-def unclassed(tokens: list[str], m: Model, p: Params = Params()) -> list[tuple[str, float]]:
-    """The words of no class in a clause, each with the part of a word that it counts for."""
-    negated, out, part = -p.reach - 1, [], 1.0
-    for i, t in enumerate(tokens):
-        c = m.classes.get(t.replace("’", "'"))
-        if c is None:
-            out.append((t, p.negated if i - negated <= p.reach else 1.0))
-        elif c == "N":
-            negated = i
-        elif c == "R":
-            part = p.reported
-    return [(t, x * part) for t, x in out]
+        arcs[state] = [(a, c, s1 * s2, s2 * a1 + a2, (to1, to2)) for a, b, s1, a1, to1 in one.arcs[state[0]] for b2, c, s2, a2, to2 in two.arcs[state[1]] if b == b2]
+        work += [x[4] for x in arcs[state]]
+    return Machine(arcs, start, frozenset(s for s in arcs if s[0] in one.final and s[1] in two.final))
+
+
+# The classes of tokens. Lower case: in the scope of a negation.
+OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, WORD = "ONRTKIU"
+PLAIN = (OTHER, NEGATION, REPORT, TARGET)
+HELD = (THREAT, INSULT, WORD)
+
+
+def negation(p: Params) -> Machine:
+    """State: tokens that the last negation still governs."""
+    arcs = {}
+    for left in range(p.reach + 1):
+        after = max(left - 1, 0)
+        arcs[left] = [(c, c, 1.0, 0.0, p.reach if c == NEGATION else after) for c in PLAIN]
+        arcs[left] += [(c, c.lower() if left else c, p.negated if left else 1.0, 0.0, after) for c in HELD]
+    return Machine(arcs, 0, frozenset(arcs))
+
+
+def _either(sign: str, scales: dict[str, float]) -> Machine:
+    """One branch for clauses without the sign, one for those with it, whose classes are scaled."""
+    every = (*PLAIN, *HELD, *[c.lower() for c in HELD])
+    arcs = {"begin": [], "without": [(c, c, 1.0, 0.0, "without") for c in every if c != sign]}
+    for state in ("before", "after"):
+        arcs[state] = [(c, c, scales.get(c, 1.0), 0.0, "after" if c == sign else state) for c in every]
+    arcs["begin"] = arcs["without"] + arcs["before"]
+    return Machine(arcs, "begin", frozenset({"begin", "without", "after"}))
+
+
+def target(p: Params) -> Machine:
+    return _either(TARGET, {INSULT: p.target_gain, INSULT.lower(): p.target_gain})
+
+
+def report(p: Params) -> Machine:
+    return _either(REPORT, dict.fromkeys((*PLAIN, *HELD, *[c.lower() for c in HELD]), p.reported))
+
+
+def threat(p: Params, weight: float) -> Machine:
+    """State: the threat that is held, negated or not, and the tokens within which a target must follow."""
+    states = [(None, 0), *[(k, left) for k in (THREAT, THREAT.lower()) for left in range(1, p.reach + 1)]]
+    arcs = {}
+    for held, left in states:
+        after = (held, left - 1) if left > 1 else (None, 0)
+        full = weight * (p.negated if held == THREAT.lower() else 1.0) if held else 0.0
+        arcs[held, left] = [(c, c, 1.0, 0.0, after) for c in (OTHER, NEGATION, REPORT, INSULT, WORD, INSULT.lower(), WORD.lower())]
+        arcs[held, left] += [(TARGET, TARGET, 1.0, full, (None, 0))]
+        arcs[held, left] += [(k, k, 0.0, 0.0, (k, p.reach)) for k in (THREAT, THREAT.lower())]
+    return Machine(arcs, (None, 0), frozenset(arcs))
+
+
+def grammar(p: Params, threat_weight: float) -> Machine:
+    return compose(compose(compose(negation(p), target(p)), threat(p, threat_weight)), report(p))
+
+
+def parse(tokens: list[str], m: Model, p: Params = Params()) -> tuple[float, list[tuple[str, float]]]:
+    """A clause's weight, and its unclassed words, each with the part of a word that it counts for."""
+    classes, weights = [], []
+    for t in tokens:
+        c = m.classes.get(t.replace("\u2019", "'"), WORD)
+        classes.append(c)
+        weights.append(m.weights[t] if c == INSULT else 0.0)
+    best, scales = m.machine(p).path(classes, weights)
+    return best, [(t, x) for t, c, x in zip(tokens, classes, scales) if c == WORD]
 
 
 def stem_repeats(text: str, m: Model, p: Params = Params()) -> dict[str, int]:
     """How many words, up to p.repeats, each prefix in a text counts for; prefixes of less than one word are left out."""
     words: dict[str, float] = {}
     for clause in CLAUSE_END.split(text.lower()):
-        for t, x in unclassed(TOKEN.findall(clause), m, p):
+        for t, x in parse(TOKEN.findall(clause), m, p)[1]:
             words[t] = words.get(t, 0.0) + x
     mass: dict[str, float] = {}
     for t, x in words.items():
@@ -139,8 +224,9 @@ def text_weight(text: str, m: Model, p: Params = Params()) -> float:
         end = CLAUSE_END.search(low, hit.end())
         upto = end.end() if end else len(low)
         tokens = TOKEN.findall(low, begin, upto)
-        total += clause_weight(tokens, m, p)
-        for t, x in unclassed(tokens, m, p) if m.stem else ():
+        weight, words = parse(tokens, m, p)
+        total += weight
+        for t, x in words if m.stem else ():
             if at := m.stem.match(t):
                 mass[at[0]] = mass.get(at[0], 0.0) + x
     for s, x in mass.items():
@@ -187,8 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     rate = (base["pos"] or 0) / base["n"] if base["n"] else 0.1
     least = p.pull * (p.least_rate - rate) / (1 - p.least_rate + 1e-9)
     found = sums.withColumn("rate", (F.col("pos") + p.pull * rate) / (F.col("n") + p.pull))
-    grammar = F.col("w").isin(INSULTS)
-    found = found.where(grammar | ((F.col("rate") >= p.least_rate) & (F.col("pos") >= max(least, 3)))).orderBy(F.desc("pos"), "w").limit(2000)
+    found = found.where(F.col("w").isin(INSULTS) | ((F.col("rate") >= p.least_rate) & (F.col("pos") >= max(least, 3)))).orderBy(F.desc("pos"), "w")
     logit = lambda q: math.log(q / (1 - q))
     prior = max(min(rate, 0.5), 1e-3)
     weights = dict.fromkeys(INSULTS, p.prior_weight)
@@ -197,6 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
         learned = logit(q) - logit(prior)
         weights[w] = (p.pull * p.prior_weight + k * learned) / (p.pull + k) if w in weights else learned
     m = Model({w: x for w, x in weights.items() if x > 0 and w not in TARGETS and w not in NEGATIONS})
+    seen = sorted(x for w, x in m.weights.items() if x != p.prior_weight) or [p.prior_weight]
+    m.threat = p.threat_gain * seen[len(seen) // 2]
     words_only = spark.sparkContext.broadcast(m.weights)
 
     def prefixes(batches):
@@ -212,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     for r in levels:
         toxic = toxic | ((F.col(f"pos{r}") >= max(least, 3)) & ((F.col(f"pos{r}") + p.pull * rate) / (F.col(f"n{r}") + p.pull) >= p.least_rate))
     arcs = []
-    for x in counts.where(toxic).orderBy(F.desc("pos1"), "s").limit(2000).collect():
+    for x in counts.where(toxic).orderBy(F.desc("pos1"), "s").collect():
         at, best = [0.0] * p.repeats, (0, 0.0)
         for r in levels:
             pos, n = x[f"pos{r}"] or 0, x[f"n{r}"]
@@ -226,31 +313,30 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     for _, s, at in sorted(arcs, key=lambda x: (x[0], len(x[1]), x[1]), reverse=True):
         if not any(s.startswith(k) or k.startswith(s) for k in m.stems):
             m.stems[s] = at
-    m = Model(m.weights, stems=m.stems)
-    shared = spark.sparkContext.broadcast((m.weights, m.stems))
+    m = Model(m.weights, stems=m.stems, threat=m.threat)
+    shared = spark.sparkContext.broadcast((m.weights, 1.0, -1.0, m.stems, m.threat))
 
     def weigh(batches):
-        model = Model(shared.value[0], stems=shared.value[1])
+        model = Model(*shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([text_weight(t, model, p) for t in strings(b, "text")]), b.column(1).cast(pa.float64())], ["x", "y"])
 
     got = texts.mapInArrow(weigh, "x double, y double").toArrow()
     if got.num_rows:
-        x = np.minimum(got["x"].to_numpy(), 12.0)
-        m.slope, m.bias = _fit(x, np.clip(got["y"].to_numpy(), 0, 1))
+        m.slope, m.bias = _fit(got["x"].to_numpy(), np.clip(got["y"].to_numpy(), 0, 1))
     return m
 
 
 def score(docs: DataFrame, m: Model, keep: list[str], p: Params = Params()) -> DataFrame:
     """The columns `keep` with score and predicted. Only `text` is an input of the score."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast((m.weights, m.slope, m.bias, m.stems))
+    shared = prepare(docs.sparkSession).sparkContext.broadcast((m.weights, m.slope, m.bias, m.stems, m.threat))
     inner = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
 
     def run(batches):
         model = Model(*shared.value)
         for b in batches:
-            x = np.minimum([text_weight(t, model, p) for t in strings(b, "t")], 12.0)
-            s = 1 / (1 + np.exp(-(model.slope * np.asarray(x, float) + model.bias)))
+            x = np.array([text_weight(t, model, p) for t in strings(b, "t")], float)
+            s = 1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -700, 700)))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*[f"k{i}" for i in range(len(keep))], "score", "predicted"])
 
     fields = [f"k{i} {inner.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]

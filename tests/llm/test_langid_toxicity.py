@@ -59,13 +59,53 @@ def test_grammar():
     assert w("idiot. idiot.") == 2 * w("idiot") and w("idiotic idiots") == 0
 
 
-def test_toxic_words_are_caught_and_clean_texts_left(spark):
+def test_toxic_texts_are_caught_and_clean_ones_left(spark):
     d = "/root/testdata/sf0.01"
-    got = queries.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL")
+    got = queries.op2_toxicity(spark, d).join(labels, "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
     bad = re.compile(r"\b(idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting)\b", re.I)
-    for r in got:
-        assert r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
-        assert r.predicted == int(bool(bad.search(r.text)))
+    caught = [r.predicted for r in got if r.toxic and bad.search(r.text)]
+    clean = [r.predicted for r in got if not r.toxic]
+    assert len(caught) > 10 and sum(caught) >= 0.95 * len(caught) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_grammar_decides(spark):
+    """Negation, report, target and threat each change what is predicted, with production parameters."""
+    d = "/root/testdata/sf0.01"
+    m = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), ~held_out(F.col("doc_id")))
+    said = lambda t: m.slope * toxicity.text_weight(t, m) + m.bias > 0
+    assert said("You are an idiot.") and not said("You are not an idiot.") and not said("An idiot, she said in her report.")
+    assert said("I will kill you.") and not said("I will kill the lights.") and not said("I will never kill you.")
+    assert said("You coward.") and not said("The tale of a coward.")
+
+
+def ways(machines, classes, weights):
+    """All paths of the machines in a row, without composing them: (weight, scales)."""
+    rows = [(tuple(m.start for m in machines), 0.0, ())]
+    for c, w in zip(classes, weights):
+        nxt = []
+        for states, total, scales in rows:
+            arcs = [(c, 1.0, 0.0, ())]
+            for m, s in zip(machines, states):
+                arcs = [(out, x * sc, sc * add + ad, (*to, t)) for a, x, add, to in arcs for i, out, sc, ad, t in m.arcs[s] if i == a]
+            nxt += [(to, total + x * w + add, (*scales, x)) for _, x, add, to in arcs]
+        rows = nxt
+    return [(t, s) for states, t, s in rows if all(x in m.final for m, x in zip(machines, states))]
+
+
+def test_composition_equals_all_paths():
+    p = toxicity.Params(reach=2)
+    machines = [toxicity.negation(p), toxicity.target(p), toxicity.threat(p, 3.0), toxicity.report(p)]
+    composed = toxicity.grammar(p, 3.0)
+    rng = np.random.default_rng(3)
+    for n in range(7):
+        for _ in range(60):
+            classes = list(rng.choice(list("ONRTKIU"), n))
+            weights = [float(rng.uniform(1, 4)) if c == "I" else 0.0 for c in classes]
+            best, scales = composed.path(classes, weights)
+            found = ways(machines, classes, weights)
+            assert abs(best - max(t for t, _ in found)) < 1e-9 and any(np.allclose(scales, s) for t, s in found if abs(t - best) < 1e-9)
 
 
 def test_toxicity_edges(spark, docs, none):
