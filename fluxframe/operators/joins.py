@@ -62,7 +62,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
 
     One union and one window over (by, time): no pairs are built. `tie` orders right rows of equal time (the last one
     wins). A match further away than the tolerance counts as none. Inputs need no order; rows with null keys or times
-    stay unmatched. Right columns that clash with left ones get the suffix.
+    stay unmatched. Right columns that clash with left ones get the suffix. Without `by`, time is cut at approximate
+    quantiles and the parts run in parallel; only one row a part goes through a single task.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is backward or forward")
@@ -76,14 +77,24 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     l_rows = left.select(*by, F.col(left_on).alias("__t"), kind.alias("__l"), F.lit(None).cast(r.select(match.alias("m")).schema[0].dataType).alias("__r"), F.lit(None).cast(r.schema[tie].dataType if tie else "int").alias("__tie"))
     r_rows = r.select(*by, F.col(right_on).alias("__t"), F.lit(None).cast(left.select(kind.alias("l")).schema[0].dataType).alias("__l"), match.alias("__r"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("__tie"))
     both = l_rows.unionByName(r_rows)
+    keys = list(by)
+    if not by:
+        n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cuts = both.select(F.percentile_approx("__t", [i / n for i in range(1, n)] or [0.5], 1000)).first()[0] or []
+        both = both.withColumn("__p", F.lit(0) if not cuts else sum((F.coalesce(F.lit(x) < F.col("__t"), F.lit(False)).cast("int") for x in sorted(set(cuts))), F.lit(0)))
+        keys = ["__p"]
     side = F.col("__l").isNotNull().cast("int")  # at equal times right rows come first (backward) or last (forward)
-    if direction == "backward":
-        w = Window.partitionBy(*by).orderBy(F.col("__t"), side, "__tie").rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("__r", True).over(w)
-    else:
-        w = Window.partitionBy(*by).orderBy(F.col("__t"), side.desc(), F.col("__tie").desc()).rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("__r", True).over(w)
-    out = both.withColumn("__m", found).where(F.col("__l").isNotNull())
+    backward = direction == "backward"
+    w = Window.partitionBy(*keys).orderBy(F.col("__t"), side if backward else side.desc(), F.col("__tie") if backward else F.col("__tie").desc())
+    near = F.last("__r", True) if backward else F.first("__r", True)
+    ahead, behind = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    out = both.withColumn("__m", near.over(w.rowsBetween(*(ahead if backward else behind))))
+    if not by:
+        edges = both.select("__p", near.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__edge")).groupBy("__p").agg(F.first("__edge").alias("__edge"))
+        ends = Window.orderBy("__p").rowsBetween(*((Window.unboundedPreceding, -1) if backward else (1, Window.unboundedFollowing)))
+        carry = F.last("__edge", True) if backward else F.first("__edge", True)
+        out = out.join(edges.select("__p", carry.over(ends).alias("__carry")), "__p").withColumn("__m", F.coalesce("__m", "__carry"))
+    out = out.where(F.col("__l").isNotNull())
     ok = F.col("__t").isNotNull()
     for c in by:
         ok = ok & F.col(c).isNotNull()

@@ -1,9 +1,9 @@
 """Incremental recomputation: change tracking by chunk of rows, and pipelines that recompute only what a change reaches.
 
-A chunk is floor(row / chunk_size). Chunk bookkeeping for a known number of rows is plain driver-side sets; the changes
-of a large table are DataFrames, and so are the dirty chunk ids, joined on (a small side goes to all executors by
-Spark's own size check). Inputs of a recomputed chunk include the rows that its windows reach, so results do not depend
-on chunk borders.
+A chunk is floor(row / chunk_size). Chunk bookkeeping for a known number of rows is plain driver-side sets. The changes of a
+large table are DataFrames; up to LISTED dirty chunk ids are known to the driver and become ranges of positions, which
+filter files by their statistics, and more are a DataFrame that is joined on. Inputs of a recomputed chunk include the
+rows that its windows reach, so results do not depend on chunk borders.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .pipeline import HARD, SOFT, KernelFailure, Scope
 from .storage import materialise
 
 CHUNK = "__chunk"
+LISTED = 10_000  # dirty chunk ids that the driver holds, at most
+RANGES = 200  # runs of chunks that become range filters; more are looked up by id
 
 
 def chunk_of(row: Column | str, size: int) -> Column:
@@ -85,16 +87,40 @@ class Node:
     deps: list[str] = dc_field(default_factory=list)
 
 
-def replace_chunks(base: DataFrame, new: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
-    """base with the rows of these chunks taken from `new`. chunks: CHUNK."""
-    kept = base.withColumn(CHUNK, chunk_of(ROW, size)).join(chunks, CHUNK, "left_anti")
-    return kept.select(*base.columns).unionByName(new.select(*base.columns))
+Chunks = list[int] | DataFrame  # ids, in order if listed; a DataFrame has CHUNK
 
 
-def rows_of(df: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+def _within(chunks: list[int], size: int) -> Column:
+    """Whether a row is in one of the chunks."""
+    runs: list[list[int]] = []
+    for c in chunks:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    if len(runs) > RANGES:
+        return chunk_of(ROW, size).isin(chunks)
+    out = F.lit(False)
+    for a, b in runs:
+        out = out | F.col(ROW).between(a * size, (b + 1) * size - 1)
+    return out
+
+
+def rows_of(df: DataFrame, chunks: Chunks, size: int) -> DataFrame:
+    if isinstance(chunks, list):
+        return df.where(_within(chunks, size))
     return df.withColumn(CHUNK, chunk_of(ROW, size)).join(chunks, CHUNK, "left_semi").select(*df.columns)
 
 
+def replace_chunks(base: DataFrame, new: DataFrame, chunks: Chunks, size: int) -> DataFrame:
+    """base with the rows of these chunks taken from `new`, which has no others."""
+    if isinstance(chunks, list):
+        kept = base.where(~_within(chunks, size))
+    else:
+        kept = base.withColumn(CHUNK, chunk_of(ROW, size)).join(chunks, CHUNK, "left_anti")
+    return kept.select(*base.columns).unionByName(new.select(*base.columns))
+
+
 class Incremental:
     """Derived columns over a source with ROW, kept up to date under appends, mutations and replacement.
 
@@ -121,7 +147,7 @@ class Incremental:
         self.graph.order()
         self.result: DataFrame | None = None
         self.recomputed: DataFrame | None = None
-        self._dirty: DataFrame | None = None  # CHUNK of source rows that changed
+        self._dirty: Chunks = []  # those of source rows that changed
         self._all = True
         self._warnings: list[str] = []
 
@@ -144,9 +170,21 @@ class Incremental:
         reach = self.reach()
         if reach is None:
             self._all = True
+        if self._all:
             return
         new = self._spread(rows.select(ROW), reach)
-        self._dirty = new if self._dirty is None else self._dirty.union(new).distinct()
+        if isinstance(self._dirty, list):
+            found = [r[0] for r in new.limit(LISTED + 1).collect()]
+            both = sorted({*self._dirty, *found})
+            if len(found) <= LISTED and len(both) <= LISTED:
+                self._dirty = both
+                return
+            self._dirty = self._listed(rows.sparkSession, self._dirty)
+        self._dirty = self._dirty.union(new).distinct()
+
+    @staticmethod
+    def _listed(spark, ids: list[int]) -> DataFrame:
+        return spark.createDataFrame([(i,) for i in ids], f"{CHUNK} long")
 
     def mutate(self, changed: DataFrame) -> None:
         """changed: ROW and all source columns of rows that have new values."""
@@ -167,8 +205,8 @@ class Incremental:
         every = self.source.select(chunk_of(ROW, self.size).alias(CHUNK)).distinct()
         if self._all or self.result is None or not all(n.pure for n in self.nodes):
             return every
-        if self._dirty is None:
-            return every.where("false")
+        if isinstance(self._dirty, list):
+            return every.where(F.col(CHUNK).isin(self._dirty))
         return every.join(self._dirty, CHUNK, "left_semi")
 
     def evaluate(self, df: DataFrame) -> DataFrame:
@@ -190,17 +228,23 @@ class Incremental:
 
     def run(self) -> DataFrame:
         """The derived table. Only dirty chunks, with the rows that their windows reach, are computed."""
-        chunks = materialise(self.dirty_chunks())
         reach = self.reach()
-        if self.result is None or reach is None or self._all:
+        chunks: Chunks | None = None  # all
+        if self.result is None or reach is None or self._all or not all(n.pure for n in self.nodes):
             new = self.full()
         else:
-            near = chunks.select(F.explode(F.sequence(F.greatest(F.col(CHUNK) - F.lit(-(-reach // self.size)), F.lit(0)), F.col(CHUNK) + F.lit(-(-reach // self.size)))).alias(CHUNK)).distinct()
+            chunks = self._dirty
+            beside = -(-reach // self.size)
+            if isinstance(chunks, list):
+                near: Chunks = sorted({c for x in chunks for c in range(max(x - beside, 0), x + beside + 1)})
+            else:
+                chunks = materialise(chunks)
+                near = chunks.select(F.explode(F.sequence(F.greatest(F.col(CHUNK) - F.lit(beside), F.lit(0)), F.col(CHUNK) + F.lit(beside))).alias(CHUNK)).distinct()
             new = rows_of(self.evaluate(rows_of(self.source, near, self.size)), chunks, self.size)
         new = materialise(new)
-        self._failures(new, chunks)
+        self._failures(new)
         self.recomputed = new
-        if self.result is None or self._all:
+        if chunks is None:
             self.result, self._layers = new, 0
         else:
             # Only the new chunks are written; older ones stay where they are until the layers are merged.
@@ -209,10 +253,10 @@ class Incremental:
             if self._layers >= self.max_layers:
                 self.result, self._layers = materialise(self.result), 0
         self.source = self.result.select(*self.source.columns)
-        self._dirty, self._all = None, False
+        self._dirty, self._all = [], False
         return self.result
 
-    def _failures(self, new: DataFrame, chunks: DataFrame) -> None:
+    def _failures(self, new: DataFrame) -> None:
         """One aggregate by chunk: failed chunks of nodes with a mode, and chunks with too many nulls."""
         watched = [n for n in self.nodes if n.failure in (SOFT, HARD) and n.fail_when is not None]
         if not watched:

@@ -41,8 +41,8 @@ class KernelFailure(PipelineError):
 @dataclass(frozen=True)
 class Settings:
     failure: str | None = None  # of nodes that do not say their own
-    na_threshold: float = 0.5  # a chunk with a larger part of nulls is warned of
-    purity_check: bool = False
+    na_threshold: float | None = None  # a chunk with a larger part of nulls in a node is warned of; takes a pass over the rows
+    purity_check: bool = False  # nodes declared pure are computed twice and compared
     chunk_size: int = 256
     max_warnings: int = 1000
 
@@ -159,13 +159,76 @@ class Pipeline:
         for name in self._sources:
             if name not in self._pushed:
                 raise MissingSource(name)
-        state = _Compiler(self).run()
+        state = self._compiled()
         result = state.outputs(self._outputs)
+        if self.settings.na_threshold is not None:
+            self._warn_of_nulls(state)
+        if self.settings.purity_check:
+            self._warn_of_impure(state)
         if eager:
             result.df.write.format("noop").mode("overwrite").save()
         self._result = result
         return self
 
+    def _compiled(self) -> _Compiler:
+        """The plan with all failure conditions checked: one aggregate over all of an index space's conditions if none
+        holds. After a soft failure, what depends on the failed node is checked again."""
+        known: dict[str, bool] = {}
+        children: dict[str, Any] = {}
+        while True:
+            state = _Compiler(self, known, children).run()
+            failed = state.first_failure()
+            if failed is None:
+                return state
+            spec, error = failed
+            if spec.failure == HARD:
+                raise KernelFailure(spec.name, spec.message if error is None else str(error)) from error
+            self.warn(f"node '{spec.name}': kernel failed: {spec.message}")
+            for other in state.checked_before(spec):
+                known[other] = False
+            known[spec.name] = True
+
+    def _declared(self, like: DataFrame) -> list[T.StructField]:
+        """The outputs' types, from the declared types of the sources and the nodes' functions, without any data."""
+        empty = Pipeline(self.settings)
+        empty._sources, empty._renamed, empty._items, empty._outputs = self._sources, {n: n for n in self._sources}, self._items, self._outputs
+        schema = T.StructType([T.StructField(ROW, T.LongType()), *[T.StructField(n, spark_type(t), True) for n, t in self._sources.items()]])
+        none = Frame(like.sparkSession.createDataFrame([], schema))
+        empty._pushed = dict.fromkeys(self._sources, none)
+        children: dict[str, Any] = {}
+        for i in self._items:
+            if i.child is not None:
+                fields = i.child._declared(like)
+                children[i.name] = Frame(like.sparkSession.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType()), *fields])))
+        state = _Compiler(empty, {i.name: False for i in self._items}, children).run()
+        return [T.StructField(n, state.spaces[state.where[n]].schema[n].dataType, True) for n in self._outputs]
+
+    def _warn_of_nulls(self, state: _Compiler) -> None:
+        for df, names in state.nodes():
+            share = [F.avg(F.col(n).isNull().cast("double")).alias(n) for n in names]
+            by = df.groupBy(F.floor(F.col(ROW) / self.settings.chunk_size).cast("long").alias("__chunk")).agg(*share)
+            many = by.where(" OR ".join(f"`{n}` > {self.settings.na_threshold}" for n in names)).orderBy("__chunk").limit(self.settings.max_warnings)
+            for r in many.collect():
+                for n in names:
+                    if r[n] > self.settings.na_threshold:
+                        self.warn(f"node '{n}' chunk {r['__chunk']}: NA fraction {r[n]:.2f} exceeds {self.settings.na_threshold}")
+
+    def _warn_of_impure(self, state: _Compiler) -> None:
+        pure = {i.name for i in self._items if i.kind == "row" and i.pure}
+
+        def hashes(x: _Compiler) -> dict[str, int]:
+            out = {}
+            for df, names in x.nodes():
+                names = [n for n in names if n in pure]
+                if names:
+                    out |= df.agg(*[F.bit_xor(F.xxhash64(ROW, n)).alias(n) for n in names]).first().asDict()
+            return out
+
+        one, two = hashes(state), hashes(_Compiler(self, state.known, state.children).run())
+        for n in one:
+            if one[n] != two[n]:
+                self.warn(f"node '{n}': two computations differ, although it is declared pure")
+
     def result(self) -> Frame | None:
         """The output frame of the last successful compute; None before the first."""
         return self._result
@@ -197,8 +260,11 @@ class Pipeline:
 class _Compiler:
     """Turns the items, in declaration order, into one DataFrame for each index space."""
 
-    def __init__(self, p: Pipeline):
+    def __init__(self, p: Pipeline, known: dict[str, bool], children: dict[str, Any]):
         self.p = p
+        self.known = known  # whether a node fails, as far as it is checked
+        self.children = children  # results of nested and sub-pipelines, computed once
+        self.checks: list[tuple[NodeSpec, int, Column]] = []  # conditions that are not checked yet, by index space
         self.spaces: list[DataFrame] = []
         self.where: dict[str, int] = {}  # column -> index space
         self.nested: dict[str, tuple[int, list[str]]] = {}
@@ -244,7 +310,9 @@ class _Compiler:
         if fails is not None:
             fails = F.coalesce(fails, F.lit(False))
             value = F.when(~fails, value)
-            failed = self._check(spec, home, fails)
+            if spec.failure is not None and spec.name not in self.known:
+                self.checks.append((spec, home, fails))
+            failed = self.known.get(spec.name, False)
             if failed and spec.scope == "chunk":
                 chunk = Window.partitionBy(F.floor(F.col(ROW) / self.p.settings.chunk_size))
                 value = F.when(~F.bool_or(fails).over(chunk), value)
@@ -255,21 +323,31 @@ class _Compiler:
         self.spaces[home] = self.spaces[home].withColumn(spec.name, value)
         self.where[spec.name] = home
 
-    def _check(self, spec: NodeSpec, home: int, fails: Column) -> bool:
-        """Whether any row fails: one aggregate without the node's value. Raises or warns by the node's mode."""
-        if spec.failure is None:
-            return False
+    def first_failure(self) -> tuple[NodeSpec, PySparkException | None] | None:
+        """The first node, as declared, whose condition holds for a row, or whose check fails (with its error)."""
+        found: set[str] = set()
         try:
-            failed = bool(self.spaces[home].agg(F.bool_or(fails)).first()[0])
-        except PySparkException as e:
-            if spec.failure == HARD:
-                raise KernelFailure(spec.name, str(e)) from e
-            failed = True
-        if failed and spec.failure == HARD:
-            raise KernelFailure(spec.name, spec.message)
-        if failed:
-            self.p.warn(f"node '{spec.name}': kernel failed: {spec.message}")
-        return failed
+            for home in dict.fromkeys(h for _, h, _ in self.checks):
+                own = [(spec.name, fails) for spec, h, fails in self.checks if h == home]
+                row = self.spaces[home].agg(*[F.bool_or(fails).alias(name) for name, fails in own]).first()
+                found |= {name for name, _ in own if row[name]}
+        except PySparkException:  # one at a time, to say which
+            for spec, home, fails in self.checks:
+                try:
+                    if self.spaces[home].agg(F.bool_or(fails)).first()[0]:
+                        return spec, None
+                except PySparkException as e:
+                    return spec, e
+        return next(((spec, None) for spec, _, _ in self.checks if spec.name in found), None)
+
+    def checked_before(self, spec: NodeSpec) -> list[str]:
+        names = [x.name for x, _, _ in self.checks]
+        return names[: names.index(spec.name)]
+
+    def nodes(self) -> list[tuple[DataFrame, list[str]]]:
+        """Row nodes by index space."""
+        rows = [i.name for i in self.p._items if i.kind == "row"]
+        return [(df, own) for k, df in enumerate(self.spaces) if (own := [n for n in rows if self.where[n] == k])]
 
     def _col(self, spec: NodeSpec) -> None:
         spec.deps = [spec.of]
@@ -278,28 +356,35 @@ class _Compiler:
         self.spaces.append(out.df.select(ROW, F.col(spec.of).alias(spec.name)))
         self.where[spec.name] = len(self.spaces) - 1
 
+    def _computed(self, spec: NodeSpec) -> Frame:
+        if spec.name not in self.children:
+            try:
+                spec.child.compute()
+                self.children[spec.name] = spec.child.result()
+            except PipelineError as e:
+                self.children[spec.name] = e
+                if spec.failure == SOFT:
+                    self.p.warn(f"node '{spec.name}': nested pipeline failed: {e}")
+                elif spec.failure == ISOLATE:
+                    self.p._errors.append(e)
+        if isinstance(self.children[spec.name], PipelineError):
+            raise self.children[spec.name]
+        return self.children[spec.name]
+
     def _nested(self, spec: NodeSpec) -> None:
-        child = spec.child
+        cols = spec.child._outputs
         try:
-            child.compute()
-            df, cols = child.result().df, child._outputs
-        except PipelineError as e:
+            df = self._computed(spec).df
+        except PipelineError:
             if spec.failure == HARD:
                 raise
-            if spec.failure == SOFT:
-                self.p.warn(f"node '{spec.name}': nested pipeline failed: {e}")
-            else:
-                self.p._errors.append(e)
-            cols = child._outputs
-            empty = T.StructType([T.StructField(ROW, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
-            df = self.spaces[0].sparkSession.createDataFrame([], empty)
+            df = self.spaces[0].sparkSession.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType()), *spec.child._declared(self.spaces[0])]))
         self.spaces.append(df.select(ROW, *[F.col(c).alias(f"{spec.name}__{c}") for c in cols]))
         self.where.update({f"{spec.name}__{c}": len(self.spaces) - 1 for c in cols})
         self.nested[spec.name] = (len(self.spaces) - 1, cols)
 
     def _sub(self, spec: NodeSpec) -> None:
-        spec.child.compute()
-        frame = spec.child.result()
+        frame = self._computed(spec)
         for name, dtype in spec.outputs.items():
             if not matches(frame.df, name, dtype):
                 raise MissingSource(name)

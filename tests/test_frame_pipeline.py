@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions import exprs as X
 from fluxframe.plans.frame import ROW, Frame
-from fluxframe.plans.pipeline import ISOLATE, KernelFailure, MissingSource, Pipeline, Settings
+from fluxframe.plans.pipeline import HARD, ISOLATE, SOFT, KernelFailure, MissingSource, Pipeline, Settings
 
 
 def frame(spark, **cols):
@@ -197,3 +197,46 @@ def test_plans_push_down(spark, sf):
     p = pricing().push(Frame.lazy(load(spark, f"{sf}/lineitem.parquet"))).compute()
     assert set(read_columns(p.to_df())) == {"l_extendedprice"}
     assert "Exchange" not in plan_text(p.to_df()) and [n["node"] for n in explain(p)["nodes"]] == ["tax", "total", "net"]
+
+
+def test_one_check_for_all_nodes_of_a_frame(spark):
+    df = spark.createDataFrame([(float(i), i) for i in range(8)], "price double, qty long")
+    p = Pipeline().source("price", "f64").source("qty", "i64")
+    for i in range(6):
+        p.node(f"n{i}", lambda r, i=i: r.price / (r.qty + i + 1), failure=SOFT, fail_when=lambda r, i=i: r.qty + i + 1 == 0)
+    p.output("n0", "n5").push(Frame.lazy(df))
+    tracker, group = spark.sparkContext.statusTracker(), "one-check"
+    spark.sparkContext.setJobGroup(group, group)
+    p.compute()
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 and not p.drain_warnings()
+
+
+def test_a_soft_failure_is_seen_by_later_checks(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 1)], "price double, qty long")
+    p = Pipeline().source("price", "f64").source("qty", "i64")
+    p.node("a", lambda r: r.price / r.qty, failure=SOFT, fail_when=lambda r: r.qty == 0)
+    p.node("b", lambda r: r.a + 1, failure=HARD, fail_when=lambda r: r.a > 1)  # a is all null after its failure
+    p.node("c", lambda r: r.price, failure=SOFT, fail_when=lambda r: r.price > 1)
+    got = p.output("a", "b", "c").push(Frame.of(df)).compute().to_df().collect()
+    assert [tuple(r) for r in got] == [(None, None, None)] * 2
+    assert [w.split("'")[1] for w in p.drain_warnings()] == ["a", "c"]
+
+
+def test_failed_child_keeps_its_types(spark):
+    df = spark.createDataFrame([(1.0, 0)], "price double, qty long")
+    child = Pipeline().source("qty", "i64").node("x", lambda r: r.qty + 1, failure=HARD, fail_when=lambda r: r.qty == 0).node("s", lambda r: r.x.cast("string")).output("x", "s")
+    p = Pipeline().source("price", "f64").nested("kid", child, failure=SOFT).node("y", lambda r: r.x, of="kid").node("z", lambda r: r.s, of="kid").output("y", "z")
+    out = p.push(Frame.of(df)).compute().to_df()
+    assert dict(out.dtypes) == {"y": "bigint", "z": "string"} and out.count() == 0
+
+
+def test_settings_are_in_effect(spark):
+    df = spark.createDataFrame([(None if i % 4 else 1.0,) for i in range(8)], "price double")
+    p = Pipeline(Settings(na_threshold=0.5, chunk_size=4)).source("price", "f64").node("x", lambda r: r.price * 2).output("x").push(Frame.of(df))
+    p.compute()
+    assert p.drain_warnings() == [f"node 'x' chunk {c}: NA fraction 0.75 exceeds 0.5" for c in (0, 1)]
+    p = Pipeline(Settings(purity_check=True)).source("price", "f64").node("x", lambda r: r.price * 2).node("y", lambda r: F.rand()).node("z", lambda r: F.rand(), pure=False).output("x", "y", "z").push(Frame.of(df))
+    p.compute()
+    assert p.drain_warnings() == ["node 'y': two computations differ, although it is declared pure"]

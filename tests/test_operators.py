@@ -1,6 +1,7 @@
 """Edges of the relational operators that the sample tables do not hold."""
 
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -151,3 +152,41 @@ def test_micro_batches(spark, tmp_path):
     w = streams.tumbling_window(streams.event_time(s, "ts", "0 minutes"), "ts", "1 hour", [F.count(F.lit(1)).alias("n")])
     closed = spark.read.parquet(streams.to_parquet(w, str(tmp_path / "out2"), "append"))
     assert closed.count() == 2  # the last window is still open
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_without_by_equals_one_group(spark, direction):
+    rng = random.Random(4)
+    left = spark.createDataFrame([(i, rng.choice([None, *range(60)])) for i in range(200)], "id long, t long")
+    right = spark.createDataFrame([(rng.randrange(60), rng.randrange(3), i) for i in range(80)], "t long, tie long, v long").dropDuplicates(["t", "tie"])
+    one = J.asof_join(left.withColumn("g", F.lit(1)), right.withColumn("g", F.lit(1)), "t", "t", ["g"], direction, tie="tie")
+    got = J.asof_join(left, right, "t", "t", (), direction, tie="tie")
+    rows = lambda df: sorted(((r.id, r.t, r.v) for r in df.collect()), key=repr)
+    assert rows(got) == rows(one)
+    assert J.asof_join(left, right.where("false"), "t", "t", (), direction).where("v IS NOT NULL").count() == 0
+
+
+def test_whole_table_windows_equal_global_ones(spark):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 1.0, 2.5, 7.0]), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(400)) if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "__row long, x double, ts timestamp")
+    want = df.withColumn("y", W.rolling("x", "sum", 7, "__row", min_periods=3))
+    got = W.rolling_rows(df, "x", "sum", 7, "__row", "y", min_periods=3, chunk=20)
+    key = lambda d: sorted(((r["__row"], r.y) for r in d.collect()))
+    assert key(got) == key(want)
+    want = df.withColumn("y", F.when(F.col("ts").isNotNull(), W.rolling_time("x", "sum", "ts", 30)))
+    assert key(W.rolling_span(df, "x", "sum", "ts", 30, "y")) == key(want)
+
+
+def test_ema_with_nulls(spark):
+    rows = [("a", i, None if i in (0, 5, 6) else float(i)) for i in range(600)] + [("b", 0, None), ("c", 0, 4.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    want, state = {}, {}
+    for k, i, x in rows:
+        if x is not None:
+            state[k] = x if state.get(k) is None else 0.3 * x + 0.7 * state[k]
+        want[k, i] = state.get(k)
+    got = {(r.k, r.i): r.ema for r in W.ema(df, "x", 0.3, "i", ["k"]).collect()}
+    assert got.keys() == want.keys() and all((got[z] is None) == (want[z] is None) and (want[z] is None or abs(got[z] - want[z]) < 1e-9) for z in want)
