@@ -129,7 +129,9 @@ class Incremental:
 
     def __init__(self, source: DataFrame, nodes: list[Node], chunk_size: int = 256, na_threshold: float = 0.5, max_warnings: int = 1000, max_layers: int = 8):
         self.size, self.na_threshold, self.max_warnings, self.max_layers = chunk_size, na_threshold, max_warnings, max_layers
-        self._layers = 0  # runs since the result was last written as a whole
+        self._base: DataFrame | None = None  # the result as it was last written as a whole
+        self._replaced: set[int] = set()  # chunks of it that later layers hold
+        self._layers: list[tuple[DataFrame, set[int]]] = []  # results of runs since, with their chunks that are still valid
         self.source, self.nodes = source, nodes
         self.inputs = [c for c in source.columns if c != ROW]
         self.graph = Graph()
@@ -244,18 +246,29 @@ class Incremental:
         new = materialise(new)
         self._failures(new)
         self.recomputed = new
-        if chunks is None:
-            self.result, self._layers = new, 0
-        else:
-            # Only the new chunks are written; older ones stay where they are until the layers are merged.
-            self.result = replace_chunks(self.result.select(*new.columns), new, chunks, self.size)
-            self._layers += 1
-            if self._layers >= self.max_layers:
-                self.result, self._layers = materialise(self.result), 0
+        self._keep(new, chunks)
         self.source = self.result.select(*self.source.columns)
         self._dirty, self._all = [], False
         return self.result
 
+    def _keep(self, new: DataFrame, chunks: Chunks | None) -> None:
+        """Makes `new` part of the result. Only new chunks are written; a layer whose chunks have all been replaced since
+        is dropped, and many layers are merged."""
+        if isinstance(chunks, list):
+            gone = set(chunks)
+            self._replaced |= gone
+            self._layers = [(df, left) for df, live in self._layers if (left := live - gone)] + [(new, gone)]
+            parts = [df.where(_within(sorted(live), self.size)) if df is not new else df for df, live in self._layers]
+            self.result = self._base.where(~_within(sorted(self._replaced), self.size)).select(*new.columns)
+            for part in parts:
+                self.result = self.result.unionByName(part)
+            if len(self._layers) < self.max_layers and len(self._replaced) <= LISTED:
+                return
+            self._base = materialise(self.result)
+        else:
+            self._base = new if chunks is None else materialise(replace_chunks(self.result.select(*new.columns), new, chunks, self.size))
+        self.result, self._layers, self._replaced = self._base, [], set()
+
     def _failures(self, new: DataFrame) -> None:
         """One aggregate by chunk: failed chunks of nodes with a mode, and chunks with too many nulls."""
         watched = [n for n in self.nodes if n.failure in (SOFT, HARD) and n.fail_when is not None]
