@@ -5,7 +5,8 @@ array of bucket numbers, and each text's score is the sum of the matrix rows tha
 
 Defined cases: a null, empty or letterless text is `und` with score 0; a text of any length is scored whole, in slices;
 repeated rows are scored alike, each on its own; an empty table gives no rows; without a single training row every text
-is `und`; extra columns are ignored by `predict` and kept by `keep_languages`. Ties go to the first language by name.
+is `und`; of other columns, `predict` keeps those it is told to. Ties go to the first language by name. The matrix has a
+column for each distinct label, so labels should be clean; more than `most_langs` of them are an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class Params:
     alpha: float = 0.5  # added to each count
     train_docs: int = 4000  # at most about so many training texts for each language
     slice_chars: int = 1 << 18
+    most_langs: int = 1000
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,12 @@ def train(docs: DataFrame, usable: Column, p: Params = Params()) -> Model:
     """Counts n-grams of about p.train_docs texts a language, chosen by hash of their id among the usable rows."""
     spark = prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(p.most_langs + 1).collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], np.zeros(((1 << p.bits) + 1, 0), np.float32), np.zeros(0))
+    if len(langs) > p.most_langs:
+        raise ValueError(f"more than {p.most_langs} languages are labelled")
     index = {x: i for i, x in enumerate(langs)}
     share = F.coalesce(*[F.when(F.col("lang") == x, hashed_share(F.col("doc_id"), "langid", min(1.0, p.train_docs / totals[x]))) for x in langs])
 

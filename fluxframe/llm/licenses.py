@@ -182,11 +182,12 @@ class Scanner:
                     found.append((n, name, first, last, n / len(t)))
                     upto = last + 1
         found.sort(key=lambda x: (-x[0], -x[4], x[2], x[1]))
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, apart from one another
         out = []
         for _, name, first, last, share in found:
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
+            k = bisect_left(taken, (first, 0))
+            if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or last < taken[k][0]):
+                taken.insert(k, (first, last))
                 out.append((name, spans[first][0], spans[last][1], share))
         return sorted(out, key=lambda x: x[1])
 

@@ -193,23 +193,25 @@ def describe(text: str | None) -> tuple:
     back = read(media, track)
     keys = track.key_ranges()
     feature = f"{track.codec.strip()};timescale={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(keys)};first={keys[0][0]}+{keys[0][1]};last={keys[-1][0]}+{keys[-1][1]}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, [{"offset": x, "size": y} for x, y in keys]
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RANGES = "array<struct<offset:long,size:long>>"
+SCHEMA = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes {RANGES}"
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row a document: what was stored, and what came back."""
+    """One row a document: what was stored, what came back, and all keyframe byte ranges."""
     prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = zip(*[describe(t.as_py()) for t in b.column(1)]) if b.num_rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(rows, kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows = zip(*[describe(t.as_py()) for t in b.column(1)]) if b.num_rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(rows, kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -238,5 +240,5 @@ def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
             kinds = [pa.int32(), pa.string(), pa.float64(), ranges, pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["key", "track", "codec", "seconds", "keyframes", "error"])
 
-    out = df.selectExpr(f"`{key}` AS key", f"`{column}` AS data").mapInArrow(run, f"key {kind}, track int, codec string, seconds double, keyframes array<struct<offset:long,size:long>>, error string")
+    out = df.selectExpr(f"`{key}` AS key", f"`{column}` AS data").mapInArrow(run, f"key {kind}, track int, codec string, seconds double, keyframes {RANGES}, error string")
     return out.withColumnRenamed("key", key)

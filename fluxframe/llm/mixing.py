@@ -12,8 +12,7 @@ hash, so texts are not shuffled to decide it.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after the others; a source of size 0 has
 target 0 and takes nothing; an empty table gives no rows; repeated rows share their block and are taken together;
-equal ids do too; a null id is allowed. Extra columns are kept by `draw`; those named like the ones it adds are not
-touched, since the added ones start with `mix_`.
+equal ids do too; a null id is allowed. Extra columns are kept by `draw`, whatever their names.
 """
 
 from __future__ import annotations
@@ -223,8 +222,11 @@ def draw(docs: DataFrame, p: Params = Params()) -> DataFrame:
     narrow = settle(keyed(docs.select("doc_id", "source", "text"), p).drop("text"))
     x = plan(narrow, p)
     slots = max(1, math.ceil(x.words / p.shards / p.slot_words))
-    rows = decide(keyed(docs, p, F.lit(0)), x).where(F.size("mix_shards") > 0)
+    # The caller's columns go by number meanwhile, so that none is taken for one of ours.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id"), F.col("source"))
+    rows = decide(keyed(numbered, p, F.lit(0)), x).where(F.size("mix_shards") > 0)
     rows = rows.select("*", F.posexplode("mix_shards").alias("mix_time", "mix_shard"))
     rows = rows.withColumn("mix_place", F.xxhash64(F.lit(p.seed + 1), "mix_h", "mix_time", "mix_shard"))
     rows = rows.withColumn("mix_slot", F.pmod("mix_place", F.lit(slots)).cast("int"))
-    return rows.repartition(p.shards * slots, "mix_shard", "mix_slot").sortWithinPartitions("mix_shard", "mix_slot", "mix_place").select(*docs.columns)
+    return rows.repartition(p.shards * slots, "mix_shard", "mix_slot").sortWithinPartitions("mix_shard", "mix_slot", "mix_place").select(*own).toDF(*docs.columns)

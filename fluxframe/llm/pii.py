@@ -342,6 +342,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
 
 def digest(docs: DataFrame, m: Model, p: Params = Params()) -> DataFrame:
     shared = prepare(docs.sparkSession).sparkContext.broadcast((m.unary, m.chain, m.skip))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         model = Model(*shared.value)
@@ -354,7 +355,7 @@ def digest(docs: DataFrame, m: Model, p: Params = Params()) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], *[pa.array(c, pa.string()) for c in cols[4:]]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_text(text: str, spans: list[Span]) -> str:

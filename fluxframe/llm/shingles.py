@@ -103,8 +103,9 @@ def signature(s: np.ndarray) -> bytes:
 def gathered(df: DataFrame, cells: int, dtype: str, fill: Callable[[np.ndarray, pa.RecordBatch], None], how: str = "add") -> np.ndarray:
     """An array of a fixed number of cells, filled from all batches of df and added (or or-ed) over the partitions.
 
-    Each partition sends its array in compressed slices; a slice's parts are combined as a stream, and only the combined
-    array, whose size is fixed, comes to the driver.
+    Each partition sends its array in compressed slices; a slice's parts are combined as a stream, in groups of partitions
+    first if there are more shuffle partitions than slices, and only the combined array, whose size is fixed, comes to the
+    driver.
     """
     slices = min(16, max(1, cells >> 12))
     step = -(-cells // slices)
@@ -129,7 +130,11 @@ def gathered(df: DataFrame, cells: int, dtype: str, fill: Callable[[np.ndarray,
 
     schema = "slice int, data binary"
     out = np.zeros(slices * step, dtype)
-    for i, data in df.mapInArrow(part, schema).repartition(slices, F.col("slice")).mapInArrow(whole, schema).collect():
+    parts = df.mapInArrow(part, schema)
+    fan = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices
+    if fan > 1:
+        parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition(slices * fan, "slice", "group").select("slice", "data").mapInArrow(whole, schema)
+    for i, data in parts.repartition(slices, F.col("slice")).mapInArrow(whole, schema).collect():
         x = np.frombuffer(zlib.decompress(data), dtype)
         out[i * step : i * step + len(x)] = x
     return out[:cells]

@@ -176,3 +176,13 @@ def test_closely_repeated_notices_are_each_found():
                 assert [f[0] for f in found] == [name] * times and all(f[3] == 1 for f in found), (name, gap, times, found)
     altered = "x Licensed under that Apache License, Version 2.0. foo Licensed under the Apache License, Version 2.0. y"
     assert [(f[0], f[3]) for f in s.scan(altered)] == [("Apache-2.0", 6 / 7), ("Apache-2.0", 1)]
+
+
+def test_ids_of_any_type_and_all_keyframes(spark):
+    df = spark.createDataFrame([("a", "x" * 5000), ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in media.digest(df).collect()}
+    assert len(got["a"].keyframes) == 5 and len(got["b"].keyframes) == 1
+    assert f"first={got['a'].keyframes[0].offset}+" in got["a"].feature and f"last={got['a'].keyframes[-1].offset}+" in got["a"].feature
+    from fluxframe.llm import pii
+
+    assert {r.doc_id for r in pii.digest(df, pii.train(df)).collect()} == {"a", "b"}

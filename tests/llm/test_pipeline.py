@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
+
 from fluxframe.llm import mixing
 from test_ngram_join import brute
 
@@ -23,6 +25,27 @@ def stages(spark, tmp_path_factory):
     return out
 
 
+@pytest.mark.parametrize("stage", range(len(C.STAGES)))
+def test_stages_on_odd_rows(spark, docs, none, stage):
+    """Nulls, repeated rows, very long texts, an empty table, and columns named like a stage's own."""
+    odd = ("lang_pred", "keep_tag", "mix_source", "mix_size", "mix_shards", "component_id", "c0", "tag", "node")
+    extra = [F.lit(f"own {c}").alias(c) for c in odd]
+    f = C.STAGES[stage][1]
+    rows = f(spark, docs.select("*", *extra), SF).collect()
+    empty = f(spark, none.select("*", *extra), SF)
+    assert empty.count() == 0
+    ids = Counter(r.doc_id for r in rows)
+    if stage < len(C.STAGES) - 1:
+        assert empty.columns == [*docs.columns, *odd] and all(r[c] == f"own {c}" for r in rows for c in odd)
+    want = {0: {1, 4, 5, None, 8, 9, 10, 11}, 1: {1, 2, 3, 4, 5, None, 7, 8, 11}, 2: {r.doc_id for r in docs.collect()}, 4: {r.doc_id for r in docs.collect()}}
+    if stage in want:
+        assert set(ids) == want[stage]
+    if stage == 1:
+        assert ids[5] == 1
+    if stage == 4:
+        assert {r.n_tokens for r in rows if r.doc_id == 2} == {0}
+
+
 def test_columns(stages):
     assert all(s.columns == stages[0].columns for s in stages[:-1])
 
