@@ -20,6 +20,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
 READER_ROWS = 512
+GROUP_BYTES = 16 << 20  # of settled files' row groups, which a writer holds in memory
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -83,7 +84,7 @@ def settle(df: DataFrame, lasting: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
     depth = 2 if lasting else 1
     if len(_scratch.open) >= depth:
         _scratch.open[-depth].append(path)

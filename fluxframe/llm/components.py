@@ -20,11 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's larger neighbours hang below its smallest neighbour (or itself).
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = settle(large)
         # Small star: each node and its smaller neighbours hang below the smallest of them.
-        low = settle(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = settle(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -188,7 +188,7 @@ def _fits(p: Params) -> str:
 def _bounded(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     """The pairs that pass the suffix filter."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    info = settle(reps.select("node", "n", "parts").join(settle(nodes), "node", "left_semi"))
+    info = settle(reps.select("node", "n", "parts").join(nodes, "node", "left_semi"))
     a, b = (info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"h{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where(_fits(p)).select("a", "b")
 
@@ -198,17 +198,17 @@ def _stars(reps: DataFrame, p: Params) -> DataFrame:
     near copies is the least altered, then with the second, and so on for p.rounds rounds; only pairs that the suffix
     filter lets through."""
     bands = reps.select("node", F.explode("bands").alias("band"))
-    many = settle(bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band"))
+    many = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
     bands = settle(bands.join(many, "band", "left_semi"))
-    info = settle(reps.select("node", "n", "common", "parts").join(settle(bands.select("node").distinct()), "node", "left_semi"))
+    info = reps.select("node", "n", "common", "parts").join(bands.select("node").distinct(), "node", "left_semi")
     rows = settle(bands.join(info, "node"))
     found = reps.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("round")).where("false")
     for i in range(p.rounds):
-        least = settle(rows.groupBy("band").agg(F.count("*").alias("k"), F.max(F.struct("common", "node", "n", "parts")).alias("m")).where("k > 1").select("band", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.parts").alias("ha")))
-        if least.isEmpty():
-            break
+        least = rows.groupBy("band").agg(F.count("*").alias("k"), F.max(F.struct("common", "node", "n", "parts")).alias("m")).where("k > 1").select("band", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.parts").alias("ha"))
         pairs = rows.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("parts").alias("hb")).join(least, "band").where("a <> b")
         pairs = settle(pairs.withColumn("fits", F.expr(_fits(p))))
+        if pairs.isEmpty():
+            break
         found = found.union(pairs.where("fits").select("a", "b", F.lit(i)))
         rows = pairs.select("band", F.col("b").alias("node"), F.col("nb").alias("n"), F.col("cb").alias("common"), F.col("hb").alias("parts"))
     return settle(found.groupBy("a", "b").agg(F.min("round").alias("round")))
@@ -305,12 +305,12 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
         apart = apart.join(rough.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
     apart = settle(apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
     first = settle(first.union(_verified(apart, whole, p)))
-    rough = settle(components(first))
+    rough = components(first)
     stars = stars.where("round = 0").select("a", "b").union(apart)
 
     rows = settle(live.join(rough, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp")))
     # By shingle and component first: what lies within one component goes no further.
-    crossing = settle(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"))
+    crossing = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rows = settle(rows.join(crossing, "token", "left_semi"))
     groups = settle(rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos")))
     l, r = groups.alias("l"), groups.alias("r")
@@ -318,18 +318,18 @@ def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame,
     length = f"100 * l.most >= {p.percent} * r.least AND 100 * r.most >= {p.percent} * l.least"
     positional = f"1 + least(l.most - l.pos - 1, r.most - r.pos - 1) >= {_overlap(p, 'l.least', 'r.least')}"
     meet = l.join(r, F.expr(f"l.token = r.token AND l.comp < r.comp AND {length} AND {positional}"))
-    meet = settle(meet.select("l.token", F.col("l.comp").alias("ca"), F.col("r.comp").alias("cb")))
+    meet = meet.select("l.token", F.col("l.comp").alias("ca"), F.col("r.comp").alias("cb"))
     a = rows.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = rows.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     length = f"100 * na >= {p.percent} * nb AND 100 * nb >= {p.percent} * na"
     # On the row of a pair's first common shingle nothing before it is shared, so this bound holds there.
     positional = f"1 + least(na - pa - 1, nb - pb - 1) >= {_overlap(p, 'na', 'nb')}"
     pairs = meet.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(f"{length} AND {positional}")
-    pairs = settle(_counted(settle(pairs.select("a", "b", "na", "nb").distinct()), rows, p))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = settle(_bounded(settle(pairs), reps, p).join(stars, ["a", "b"], "left_anti"))
+    pairs = _counted(settle(pairs.select("a", "b", "na", "nb").distinct()), rows, p)
+    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = settle(_bounded(pairs, reps, p).join(stars, ["a", "b"], "left_anti"))
     more = settle(_sets_of(docs, _named(pairs, reps).join(whole.select("node"), "node", "left_anti"), p))
-    second = settle(_verified(pairs, whole.union(more), p))
+    second = _verified(pairs, whole.union(more), p)
     return base.select("tag", "doc_id", "n", "sig"), classes, first.union(second)
 
 
@@ -337,11 +337,11 @@ def _labelled(docs: DataFrame, p: Params) -> DataFrame:
     """tag, doc_id, n, component_id of each row."""
     rows, classes, found = links(docs, p)
     label = components(found)
-    named = settle(classes.join(label, "node", "left").select("sig", F.coalesce("component", "node").alias("comp")))
+    named = classes.join(label, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     by_class = settle(named.join(least, "sig"))
-    ids = settle(by_class.groupBy("comp").agg(F.min("least").alias("component_id")))
-    ids = settle(by_class.select("sig", "comp").join(ids, "comp").select("sig", "component_id"))
+    ids = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = by_class.select("sig", "comp").join(ids, "comp").select("sig", "component_id")
     out = rows.join(ids, "sig", "left")
     return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
