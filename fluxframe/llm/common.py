@@ -29,9 +29,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     They last, since plans are lazy and read them when they run; results do not depend on them.
     """
     env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    # The driver's own path may have been set after its JVM began, so what counts is what workers are given.
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *[x for x in paths if x and x != ROOT]])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
