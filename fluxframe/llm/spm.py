@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine is compiled from a model file: the normaliser (space to U+2581, dummy prefix), the pieces, and byte fallback
-for characters without a piece. Composed with an input it is a lattice whose arcs are pieces; the encoding is its
-shortest path in the tropical semiring. A unigram model puts minus its scores on the arcs. A BPE model's merges are a
-bigram automaton: two neighbouring pieces weigh 0 if merging their joined text gives just these two again, and are
-infinitely far apart otherwise. Exactly one path of finite weight is left, and it is the one that merging would give.
+Three machines are compiled from a model file. The normaliser reads characters and writes symbols (space to U+2581, dummy
+prefix, runs of spaces squeezed); a space is held back until a character follows it. The pieces' machine reads symbols
+and writes pieces; byte fallback is an arc of it, for a symbol without a piece of its own. For a unigram model minus the
+scores weigh on its arcs. A BPE model's merges are a third, bigram machine over pieces: two neighbours weigh 0 if merging
+their joined text gives just these two again, and are infinitely far apart otherwise, so exactly one path of finite
+weight is left, the one that merging would give.
 
-No piece goes on after a space mark that follows other characters, so the lattice is cut before each run of space marks,
-and the parts' shortest paths are remembered, up to a fixed number.
+Composed with an input these are a lattice, built as it is searched: a state is a place with the last piece (the bigram
+machine's state; none for a unigram model). The encoding is the shortest path in the tropical semiring: weights add along
+a path, and of all paths into a state the least counts.
+
+No piece goes on after a space mark that follows other characters, so inputs are cut before each run of spaces and space
+marks, and the parts' shortest paths are remembered, up to a fixed number.
 
 Defined cases: a null text is encoded as empty, to no ids, and decoded to an empty text; texts of any length are encoded
 whole; equal texts get equal ids; an empty table gives no rows; ties of a unigram model go to the longer last piece. A
@@ -21,6 +26,7 @@ import re
 import struct
 from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,9 @@ MARK = "▁"
 # The format's piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+START, GAP, WORD = range(3)  # the normaliser's states: nothing written, a space held back, otherwise
+FALLBACK, NONE = -1, -2  # in place of a piece: a symbol without one; nothing yet
+INFINITE = float("inf")
 SHIFT = 1 << 24
 REMEMBERED = 400_000  # parts of at most 48 characters, in each of two generations
 
@@ -107,21 +116,30 @@ class Transducer:
         self.sizes = [*map(len, self.pieces), 1]  # the last, at -1, of a character without a piece
         self.plain = [k in (NORMAL, USER, UNUSED) for k in self.kinds]
         self.worst = min(self.scores, default=0.0) - 10.0
+        mark = MARK if self.escape else " "
+        first = mark if self.dummy_prefix else ""
+        # The normaliser's arcs: of a state, by whether the character is a space, the next state and what is written,
+        # before the character itself if that is none.
+        if self.squeeze:
+            self.normaliser = {START: ((WORD, first), (START, "")), GAP: ((WORD, mark), (GAP, "")), WORD: ((WORD, ""), (GAP, ""))}
+        else:
+            self.normaliser = {START: ((WORD, first), (WORD, first + mark)), WORD: ((WORD, ""), (WORD, mark))}
         # Space marks inside of pieces would tie neighbouring parts together.
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids) else re.compile(r"(?s).+")
+        apart = self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        self.cut = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+" if apart else r"(?s).+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.spines: dict[int, tuple[list, list]] = {}
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
+    def symbols(self, text: str, state: int = START) -> str:
+        """What the normaliser writes, from a state on."""
+        out = []
+        for c in text:
+            space = c == " "
+            state, put = self.normaliser[state][space]
+            out.append(put if space else put + c)
+        return "".join(out)
 
     def merged(self, text: str) -> list[int]:
         """The pieces that merging gives: the best-scored pair first, the leftmost of equals. For short texts."""
@@ -161,19 +179,29 @@ class Transducer:
             got = self.spines[t] = (left[::-1], right[::-1]) if len(parts) == 1 else ([], [])
         return got
 
-    def joins(self, a: int, b: int) -> bool:
-        """Whether the bigram automaton has an arc of weight 0 from piece a to piece b: no merge crosses their boundary.
+    def weight(self, before: int, t: int, text: str, at: int) -> float:
+        """Of piece t after piece `before`, at a place of the symbols: the bigram machine's, or the unigram model's."""
+        if self.model_type == UNIGRAM:
+            return -self.worst if t < 0 else 0.0 if self.kinds[t] == USER else -self.scores[t]
+        if before == NONE:
+            got = 0.0 if t < 0 or self.whole(t) else INFINITE
+        else:
+            left = self.spine(before)[1] if before >= 0 else [(text[at - 1], -1.0e30)]
+            right = self.spine(t)[0] if t >= 0 else [(text[at], -1.0e30)]
+            got = 0.0 if self._joins(left, right) else INFINITE
+        if before != FALLBACK and t >= 0:
+            if len(self.pairs) > 10 * REMEMBERED:
+                self.pairs.clear()
+            self.pairs[before * SHIFT + t] = got
+        return got
+
+    def _joins(self, left: list, right: list) -> bool:
+        """Whether no merge crosses the boundary of two pieces.
 
         The merges of both pieces are undone, the latest first; at each time the symbols at the boundary would merge
         if their joint piece ranks before the merge that takes one of them away (on the left side, a merge of equal
         rank comes first, since it is the leftmost).
         """
-        if len(self.pairs) > 10 * REMEMBERED:
-            self.pairs.clear()
-        got = self.pairs[a * SHIFT + b] = self._joins(self.spine(a)[1], self.spine(b)[0])
-        return got
-
-    def _joins(self, left: list, right: list) -> bool:
         if not left or not right:
             return False
         i = j = 0
@@ -192,108 +220,104 @@ class Transducer:
             else:
                 return True
 
-    def _bpe_path(self, part: str) -> list[tuple[int, int, int]]:
-        """(begin, end, piece) along the only path of finite weight; piece -1 is a character without one.
+    def arcs(self, text: str, at: int) -> list[int]:
+        """The pieces that can be written for the symbols from a place on, shorter ones first."""
+        out = []
+        state = self.start
+        for c in text[at : at + self.longest]:
+            state = state.get(c)
+            if state is None:
+                break
+            if None in state:
+                out.append(state[None])
+        if not out or self.sizes[out[0]] > 1:
+            out.insert(0, FALLBACK)
+        return out
 
-        The search goes depth first, longer arcs first, and never twice into a (position, last piece) that led nowhere.
-        """
-        start, longest, pairs, sizes, n = self.start, self.longest, self.pairs, self.sizes, len(part)
-        path: list[int] = []  # pieces so far
-        at: list[int] = []  # where each begins
-        left: list[list[int]] = []  # arcs still to be tried after each prefix of the path, the longest last
-        dead: set[int] = set()
-        pos, before = 0, -2
-        fresh = True
-        while pos < n or not fresh:
-            if fresh:
-                here = []
-                state = start
-                for c in part[pos : pos + longest]:
-                    state = state.get(c)
-                    if state is None:
-                        break
-                    if None in state:
-                        here.append(state[None])
-                if not here or sizes[here[0]] > 1:
-                    here.insert(0, -1)
-                left.append(here)
-                fresh = False
-            here = left[-1]
-            while here:
-                t = here.pop()
-                if before >= 0 and t >= 0:
-                    ok = pairs.get(before * SHIFT + t)
-                    if ok is None:
-                        ok = self.joins(before, t)
-                else:
-                    ok = self._odd_join(part, pos, before, t)
-                end = pos + sizes[t]
-                if ok and (not dead or end * SHIFT + t not in dead):
-                    path.append(t)
-                    at.append(pos)
-                    pos, before = end, t
-                    fresh = True
+    def path(self, text: str) -> list[int]:
+        """The pieces along the shortest path of the lattice over these symbols."""
+        return self._best_first(text) if self.model_type == BPE else self._by_place(text)
+
+    def _best_first(self, text: str) -> list[int]:
+        """The search with the bigram machine, whose weights are never negative: the state at the least distance is left
+        next, the furthest place first, then the last one found, and none twice. Only the states that it meets are made."""
+        start, longest, pairs, n = self.start, self.longest, self.pairs, len(text)
+        link, piece = [-1], [NONE]  # the state before, and the last piece, of each state
+        queue = [(0.0, 0, 0)]  # distance, minus place, minus state
+        left: set[int] = set()
+        made = 0
+        while queue:
+            far, at, x = heappop(queue)
+            at, x = -at, -x
+            before = piece[x]
+            if at == n:
+                return self._trace(link, piece, x)
+            row = before * SHIFT
+            if at * SHIFT + before in left:
+                continue
+            left.add(at * SHIFT + before)
+            state, end = start, at
+            for c in text[at : at + longest]:  # the pieces' machine; the fallback arc is that of a symbol without a piece
+                state = state.get(c)
+                end += 1
+                t = FALLBACK if state is None else state.get(None, FALLBACK)
+                if t >= 0 or end == at + 1:
+                    w = pairs.get(row + t)
+                    if w is None:
+                        w = self.weight(before, t, text, at)
+                    if w < INFINITE:
+                        made += 1
+                        heappush(queue, (far + w, -end, -made))
+                        link.append(x)
+                        piece.append(t)
+                if state is None:
                     break
-            else:
-                left.pop()
-                dead.add(pos * SHIFT + before)
-                if not path:
-                    raise ValueError("the model's merges give no path")
-                path.pop()
-                pos = at.pop()
-                before = path[-1] if path else -2
-        return [(a, a + sizes[t], t) for a, t in zip(at, path)]
-
-    def _odd_join(self, part: str, pos: int, before: int, t: int) -> bool:
-        """Arcs at the start of a part, or next to characters that have no piece of their own."""
-        if before == -2:
-            return t < 0 or self.whole(t)
-        none = -1.0e30
-        a = self.spine(before)[1] if before >= 0 else [(part[pos - 1], none)]
-        b = self.spine(t)[0] if t >= 0 else [(part[pos], none)]
-        return self._joins(a, b)
-
-    def whole(self, t: int) -> bool:
-        """Whether merging the piece's own text gives it."""
-        return bool(self.spine(t)[0])
-
-    def _unigram_path(self, part: str) -> list[tuple[int, int, int]]:
-        n = len(part)
-        cost, last, back = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = self.ids.get(part[j:i], -1)
-                if t < 0 and i - j > 1:
-                    continue
-                c = cost[j] - (self.worst if t < 0 else 0.0 if self.kinds[t] == USER else self.scores[t])
-                if c < cost[i]:
-                    cost[i], last[i], back[i] = c, t, j
-        return self._trace(last, back, n)
+        raise ValueError("the model's merges give no path")
+
+    def _by_place(self, text: str) -> list[int]:
+        """The search with weights of any sign: place by place. Of equal paths, that with the longer last piece counts."""
+        n = len(text)
+        far, link, piece = [0.0] + [INFINITE] * n, [-1] * (n + 1), [NONE] * (n + 1)
+        for at in range(n):
+            for t in self.arcs(text, at):
+                end, w = at + self.sizes[t], far[at] + self.weight(NONE, t, text, at)
+                if w < far[end]:
+                    far[end], link[end], piece[end] = w, at, t
+        return self._trace(link, piece, n)
 
     @staticmethod
-    def _trace(last: list[int], back: list[int], n: int) -> list[tuple[int, int, int]]:
+    def _trace(link: list[int], piece: list[int], x: int) -> list[int]:
         out = []
-        while n:
-            out.append((back[n], n, last[n]))
-            n = back[n]
+        while x:
+            out.append(piece[x])
+            x = link[x]
         return out[::-1]
 
-    def part_ids(self, part: str) -> list[int]:
+    def whole(self, t: int) -> bool:
+        """Whether merging the piece's own text gives it."""
+        return bool(self.spine(t)[0])
+
+    def part_ids(self, part: str, state: int = START) -> list[int]:
+        """What the shortest path writes: pieces, and for fallback arcs bytes, or once for a run of them the unknown piece."""
+        text = self.symbols(part, state)
         out: list[int] = []
-        for a, b, t in (self._bpe_path if self.model_type == BPE else self._unigram_path)(part):
+        at = 0
+        for t in self.path(text):
             if t >= 0:
                 out.append(t)
             elif self.byte_fallback:
-                out += [self.bytes[x] for x in part[a:b].encode("utf-8", "surrogatepass")]
+                out += [self.bytes[x] for x in text[at].encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
+            at += self.sizes[t]
         return out
 
     def _part(self, part: str) -> bytes:
-        """The ids of a part as little-endian int32, from the older generation or anew."""
+        """The ids of a part as little-endian int32, from the older generation or anew. A NUL is put before a text's first
+        part, which the normaliser reads from its first state; other parts begin with a space or mark."""
         got = self.older.get(part)
         if got is None:
-            got = array("i", self.part_ids(part)).tobytes()
+            got = array("i", self.part_ids(part[1:]) if part[0] == "\0" else self.part_ids(part, WORD)).tobytes()
         if len(part) <= 48:
             if len(self.known) >= REMEMBERED:
                 self.older = self.known
@@ -304,7 +328,10 @@ class Transducer:
     def encode_bytes(self, text: str) -> bytes:
         known = self.known.get
         out = []
-        for part in self.cut.findall(self.normalise(text)):
+        parts = self.cut.findall(text)
+        if parts:
+            parts[0] = "\0" + parts[0]
+        for part in parts:
             got = known(part)
             if got is None:
                 got = self._part(part)

@@ -96,6 +96,35 @@ def test_unigram_shortest_path():
     assert [t.pieces[i] for i in t.encode("abb")] == ["ab", "b"] and t.encode("azzb") == [1, 0, 2]
 
 
+def test_shortest_path_is_the_least_of_all_paths(machine):
+    def every(text, at=0, before=spm.NONE):
+        if at == len(text):
+            yield 0.0, []
+            return
+        for t in machine.arcs(text, at):
+            w = machine.weight(before, t, text, at)
+            for far, rest in every(text, at + machine.sizes[t], t):
+                yield w + far, [t, *rest]
+
+    for text in ["▁hello", "▁anthon", "aaaaaa", "▁é日ab", "▁▁▁x", "日"]:
+        finite = [p for p in every(text) if p[0] < spm.INFINITE]
+        assert len(finite) == 1 and machine.path(text) == finite[0][1]
+
+
+@pytest.mark.parametrize(("squeeze", "prefix", "want"), [(True, True, "▁a▁b"), (True, False, "a▁b"), (False, True, "▁▁a▁▁b▁"), (False, False, "▁a▁▁b▁")])
+def test_normaliser_machine(squeeze, prefix, want):
+    model = b"\x0a\x03\x0a\x01a" + b"\x1a\x06\x18" + bytes([prefix]) + b"\x20" + bytes([squeeze]) + b"\x28\x01"
+    t = spm.Transducer(model)
+    assert t.symbols(" a  b ") == want and t.symbols("") == ""
+    parts = t.cut.findall(" a  b ")
+    assert "".join([t.symbols(parts[0]), *[t.symbols(p, spm.WORD) for p in parts[1:]]]) == want
+
+
+def test_a_long_text_without_spaces(machine):
+    text = "xyzerthan" * 20_000
+    assert machine.decode(machine.encode(text)) == text
+
+
 def test_spm_edges(docs, none):
     rows = {r.doc_id: r for r in spm.encode(docs, ["doc_id", "key"]).collect()}
     assert rows[2].n_tokens == rows[3].n_tokens == 0 and rows[2].token_ids == [] and rows[4].round_trip and not rows[11].round_trip
