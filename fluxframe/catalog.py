@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from .operators import missing as M
 from .operators import reshape as R
 from .operators import stats as Q
 from .operators import window as W
+from .plans import kernels as K
 from .plans.frame import ROW, Frame, number_rows
 from .plans.incremental import Incremental, Node, na_fraction, refresh_groups, refresh_join
 from .plans.pipeline import ISOLATE, Pipeline
@@ -623,9 +625,55 @@ def row_range(spark, d):
     return table(spark, d, "orders", "o_orderkey", "o_totalprice").where(F.col("o_orderkey").between(300, 340))
 
 
-@query("SELECT 100 AS n")
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100")
 def reservoir_sample(spark, d):
-    return Q.sample(table(spark, d, "orders", "o_orderkey"), "o_orderkey", 100).agg(F.count(F.lit(1)).alias("n"))
+    return Q.sample(table(spark, d, "orders", "o_orderkey"), "o_orderkey", 100)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100")
+def reservoir_incremental(spark, d):
+    o = table(spark, d, "orders", "o_orderkey")
+    return Q.extend_sample(Q.sample(o.where("o_orderkey < 400"), "o_orderkey", 100), o.where("o_orderkey >= 400"), "o_orderkey", 100)
+
+
+@query("SELECT o_orderkey // 256 AS part, max(o_orderkey) >= 300 AND min(o_orderkey) <= 700 AS kept, CASE WHEN max(o_orderkey) < 300 THEN 'all below' WHEN min(o_orderkey) > 700 THEN 'all above' ELSE 'may match' END AS reason FROM orders GROUP BY 1")
+def pruning_log(spark, d):
+    stats = Q.partition_stats(table(spark, d, "orders", "o_orderkey"), F.floor(F.col("o_orderkey") / 256), ["o_orderkey"])
+    return Q.pruned(stats, "o_orderkey", 300, 700)
+
+
+@query("SELECT DISTINCT event_id // 1000 AS part, user_id FROM events WHERE user_id = 7")
+def bloom_pruned_lookup(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id").withColumn("part", F.floor(F.col("event_id") / 1000))
+    parts = Q.may_hold(Q.bloom(e, F.col("part"), "user_id"), 7)
+    return e.join(parts, "part", "left_semi").where("user_id = 7").select("part", "user_id").distinct()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_custkey // 2 ELSE 3 * o_custkey + 1 END AS v FROM orders")
+def opaque_row(spark, d):
+    step = K.row(lambda k: k // 2 if k % 2 == 0 else 3 * k + 1, "i64")
+    p = Pipeline().source("key", "i64", from_="o_orderkey").source("c", "i64", from_="o_custkey").node("v", lambda r: step(r.c)).output("key", "v")
+    return p.push(Frame.lazy(table(spark, d, "orders", "o_orderkey", "o_custkey"))).compute().to_df().withColumnRenamed("key", "o_orderkey")
+
+
+def _kernel(spark, d, kernel: K.Kernel) -> DataFrame:
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    return kernel.apply(o, "o_custkey", "v", "o_orderkey").select("o_orderkey", "v")
+
+
+@query("SELECT o_orderkey, o_custkey * 2 AS v FROM orders")
+def kernel_element(spark, d):
+    return _kernel(spark, d, K.Kernel(lambda a, _: pc.multiply(a, 2), "i64"))
+
+
+@query("SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderkey // 256 ORDER BY o_orderkey)::BIGINT + o_orderkey // 256 AS v FROM orders")
+def kernel_fixed_chunks(spark, d):
+    return _kernel(spark, d, K.Kernel(lambda a, chunk: pc.add(pc.cumulative_sum(a), chunk), "i64", K.FIXED, chunk=256))
+
+
+@query("SELECT o_orderkey, o_custkey - lag(o_custkey) OVER (ORDER BY o_orderkey) AS v FROM orders")
+def kernel_boundary(spark, d):
+    return _kernel(spark, d, K.Kernel(lambda a, _: pc.pairwise_diff(a, 1), "i64", K.BOUNDARY, 1, 256))
 
 
 # Streams

@@ -26,6 +26,30 @@ def prune(stats: DataFrame, column: str, low, high) -> DataFrame:
     return stats.where((F.col(f"{column}_max") >= F.lit(low)) & (F.col(f"{column}_min") <= F.lit(high))).select("part")
 
 
+def pruned(stats: DataFrame, column: str, low, high) -> DataFrame:
+    """The log of `prune`'s decisions: part, kept, reason."""
+    reason = F.when(F.col(f"{column}_max").isNull(), "no values").when(F.col(f"{column}_max") < F.lit(low), "all below").when(F.col(f"{column}_min") > F.lit(high), "all above")
+    return stats.select("part", reason.isNull().alias("kept"), F.coalesce(reason, F.lit("may match")).alias("reason"))
+
+
+def _bits(c: Column, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(c.cast("string"), F.lit(i)), F.lit(bits)).cast("int") for i in range(hashes)]
+
+
+def bloom(df: DataFrame, by: Column, column: str, bits: int = 8192, hashes: int = 3) -> DataFrame:
+    """part, bits: the set bits of a Bloom filter of each part's values, `bits` at most."""
+    set_ = F.explode(F.array(*_bits(F.col(column), bits, hashes)))
+    return df.where(F.col(column).isNotNull()).select(by.alias("part"), set_.alias("bit")).groupBy("part").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+
+
+def may_hold(filters: DataFrame, value, bits: int = 8192, hashes: int = 3) -> DataFrame:
+    """The parts whose filter does not rule the value out; bits and hashes as the filters were made with."""
+    hit = F.lit(True)
+    for b in _bits(F.lit(value), bits, hashes):
+        hit = hit & F.array_contains("bits", b)
+    return filters.where(hit).select("part")
+
+
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:
     """bin_edge, count over [low, high]; the last bin includes its end; empty bins are left out."""
     width = (high - low) / bins
@@ -49,8 +73,13 @@ def outliers(df: DataFrame, c: str, sigmas: float = 3.0, name: str = "outlier")
 
 
 def sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows, the same ones at every run: the least hashes of their key, by partial top-n."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    """n rows, the same ones at every run: those of the least digests of their key, by partial top-n."""
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def extend_sample(old: DataFrame, new: DataFrame, key: str, n: int) -> DataFrame:
+    """The sample of all rows, from that of the rows before and the new rows alone."""
+    return sample(old.unionByName(sample(new, key, n)), key, n)
 
 
 def page(df: DataFrame, order: Sequence[str | Column], offset: int, limit: int, where: Column | None = None) -> DataFrame:

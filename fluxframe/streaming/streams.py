@@ -87,6 +87,20 @@ def to_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     return df.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def overflow(fn: Callable[[DataFrame, int], None], capacity: int, policy: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that hands at most `capacity` rows of a batch on, by the policy that the caller chose: drop_oldest
+    keeps the rows latest in `order`, drop_newest the earliest, block all of them (bound the source's batches then)."""
+    if policy not in ("block", "drop_oldest", "drop_newest"):
+        raise ValueError(f"unknown policy '{policy}'")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if policy != "block":
+            batch = batch.orderBy(F.col(order).desc() if policy == "drop_oldest" else F.col(order).asc()).limit(capacity)
+        fn(batch, batch_id)
+
+    return put
+
+
 def to_view(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps the latest row of each key: versions side by side, the newest named by a batch id."""
 

@@ -190,3 +190,37 @@ def test_ema_with_nulls(spark):
         want[k, i] = state.get(k)
     got = {(r.k, r.i): r.ema for r in W.ema(df, "x", 0.3, "i", ["k"]).collect()}
     assert got.keys() == want.keys() and all((got[z] is None) == (want[z] is None) and (want[z] is None or abs(got[z] - want[z]) < 1e-9) for z in want)
+
+
+def test_kernels_check_their_contract(spark):
+    import pyarrow as pa
+
+    from fluxframe.plans import kernels as K
+
+    df = spark.createDataFrame([(i, None if i == 3 else i) for i in range(10)], "r long, v long")
+    with pytest.raises(ValueError):
+        K.Kernel(lambda a, _: a, "i64", K.FIXED, 1)
+    with pytest.raises(Exception, match="a kernel made 1 values of"):
+        K.Kernel(lambda a, _: pa.array([1]), "i64", K.FIXED, chunk=4).apply(df, "v", "w", "r").collect()
+    whole = K.Kernel(lambda a, chunk: pa.array([chunk] * len(a)), "i64", K.FIXED, chunk=4).apply(df, "v", "w", "r")
+    assert [x.w for x in whole.orderBy("r").collect()] == [0] * 4 + [1] * 4 + [2] * 2
+    assert K.Kernel(lambda a, _: a, "i64", K.BOUNDARY, 2).mapping.half == 2 and K.Kernel(lambda a, _: a, "i64", K.FIXED).mapping.is_blocking
+    assert rows(df.select(K.row(lambda a, b: f"{a}{b}", "str")("r", "v").alias("x")))[:2] == [("00",), ("11",)]
+
+
+def test_overflow_policies(spark):
+    from fluxframe.streaming import streams
+
+    got = []
+    for policy in ("drop_oldest", "drop_newest", "block"):
+        streams.overflow(lambda b, _: got.append(sorted(r[0] for r in b.collect())), 2, policy, "id")(spark.range(5), 0)
+    assert got == [[3, 4], [0, 1], [0, 1, 2, 3, 4]]
+    with pytest.raises(ValueError):
+        streams.overflow(print, 1, "drop", "id")
+
+
+def test_bloom_rules_out_nothing_that_is_there(spark):
+    df = spark.range(200).withColumn("part", F.floor(F.col("id") / 20))
+    filters = Q.bloom(df, F.col("part"), "id").cache()
+    assert all(v // 20 in {r[0] for r in Q.may_hold(filters, v).collect()} for v in (0, 77, 199))
+    assert Q.may_hold(filters, 10_000).count() <= 1
