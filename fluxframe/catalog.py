@@ -20,7 +20,7 @@ from .operators import stats as Q
 from .operators import window as W
 from .plans import kernels as K
 from .plans.frame import ROW, Frame, number_rows
-from .plans.incremental import Incremental, Node, na_fraction, refresh_groups, refresh_join
+from .plans.incremental import Deltas, Incremental, Node, na_fraction, refresh_groups, refresh_join
 from .plans.pipeline import ISOLATE, Pipeline
 from .plans.storage import materialise, shared_dir
 from .sources import io
@@ -266,6 +266,17 @@ def incremental_append(spark, d):
     return _named(inc.run())
 
 
+@query(_chain_sql("CASE WHEN o_orderkey BETWEEN 150 AND 199 THEN o_totalprice + 2 WHEN o_orderkey BETWEEN 100 AND 250 THEN o_totalprice + 1 ELSE o_totalprice END", "orders"))
+def incremental_coalesced(spark, d):
+    o = _orders(spark, d)
+    inc = Incremental(o, _chain())
+    inc.run()
+    changes = Deltas(inc)
+    for lo, hi, by in ((100, 250, 1), (150, 199, 2)):
+        changes.push("mutate", o.where(F.col(ROW).between(lo, hi)).withColumn("price", F.col("price") + by))
+    return _named(changes.flush())
+
+
 @query("SELECT o_orderkey, price, round(avg(price) OVER (ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS smooth FROM (SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 510 AND 513 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders)")
 def local_window_halo(spark, d):
     inc = Incremental(_orders(spark, d), [Node("smooth", rolling=("price", "mean", 3))])

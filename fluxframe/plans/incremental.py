@@ -310,6 +310,62 @@ class Incremental:
         return a.alias("a").join(b.alias("b"), CHUNK).where("a.h <> b.h").select(CHUNK)
 
 
+class Deltas:
+    """Changes that are pushed without computing anything, and put together before they reach the table.
+
+    A replacement makes earlier changes void. Neighbouring mutations become one, in which the last value of a row counts,
+    and neighbouring appends one; appends and mutations keep their order, since a mutation may be of appended rows. The
+    watermark is the greatest that was pushed; it never goes back.
+    """
+
+    KINDS = ("append", "mutate", "replace", "watermark")
+
+    def __init__(self, target: Incremental):
+        self.target, self.watermark = target, None
+        self._held: list[tuple[str, list[DataFrame]]] = []
+
+    def push(self, kind: str, change) -> Deltas:
+        """change: rows with ROW and all source columns, or the time of a watermark."""
+        if kind not in self.KINDS:
+            raise ValueError(f"unknown kind of change '{kind}'")
+        if kind == "watermark":
+            self.watermark = change if self.watermark is None else max(self.watermark, change)
+        elif kind == "replace":
+            self._held = [(kind, [change])]
+        elif self._held and self._held[-1][0] == kind:
+            self._held[-1][1].append(change)
+        else:
+            self._held.append((kind, [change]))
+        return self
+
+    def __len__(self) -> int:
+        """Changes to the table that are left after putting them together."""
+        return len(self._held)
+
+    def _latest(self, changes: list[DataFrame]) -> DataFrame:
+        names = [ROW, *self.target.inputs]
+        every = None
+        for i, df in enumerate(changes):
+            one = df.select(F.lit(i).alias("__at"), F.struct(*names).alias("__new"))
+            every = one if every is None else every.union(one)
+        return every.groupBy(F.col(f"__new.{ROW}").alias("__key")).agg(F.max_by("__new", "__at").alias("__new")).select("__new.*")
+
+    def flush(self) -> DataFrame:
+        """Applies what is held and computes what it reaches; with nothing held, the result as it is."""
+        held, self._held = self._held, []
+        for kind, changes in held:
+            if kind == "mutate":
+                self.target.mutate(changes[0] if len(changes) == 1 else materialise(self._latest(changes)))
+            elif kind == "replace":
+                self.target.replace(changes[0])
+            else:
+                rows = changes[0]
+                for more in changes[1:]:
+                    rows = rows.unionByName(more)
+                self.target.append(rows)
+        return self.target.run() if held or self.target.result is None else self.target.result
+
+
 def na_fraction(df: DataFrame, name: str, size: int = 256, row: str = ROW) -> DataFrame:
     """The part of nulls in each chunk."""
     return df.groupBy(chunk_of(row, size).alias("chunk_id")).agg(F.avg(F.col(name).isNull().cast("double")).alias("na_fraction"))

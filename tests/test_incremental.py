@@ -159,3 +159,22 @@ def test_history(spark, tmp_path):
     h.save(prices(spark, 5))
     h.save(prices(spark, 5).withColumn("price", F.col("price") + 1))
     assert [r["price"] for r in h.trace(spark, 2).collect()] == [2.0, 3.0] and h.at(spark, 1).count() == 5
+
+
+def test_deltas_are_put_together(spark):
+    from fluxframe.plans.incremental import Deltas
+
+    base = spark.range(10).select(F.col("id").alias(ROW), F.col("id").cast("double").alias("x"))
+    inc = Incremental(base, [Node("y", lambda r: r.x * 2)], chunk_size=4)
+    d = Deltas(inc)
+    assert d.flush().count() == 10
+    of = lambda row, x: spark.createDataFrame([(row, x)], f"{ROW} long, x double")
+    d.push("mutate", of(1, 5.0)).push("mutate", of(1, 6.0)).push("append", of(10, 1.0)).push("append", of(11, 1.0)).push("mutate", of(11, 7.0))
+    d.push("watermark", 5).push("watermark", 3)
+    assert len(d) == 3 and d.watermark == 5
+    got = {r[ROW]: r.y for r in d.flush().collect()}
+    assert len(got) == 12 and got[1] == 12.0 and got[10] == 2.0 and got[11] == 14.0 and got[2] == 4.0 and len(d) == 0
+    d.push("mutate", of(0, 9.0)).push("replace", base)
+    assert len(d) == 1 and {r[ROW]: r.y for r in d.flush().collect()}[0] == 0.0
+    with pytest.raises(ValueError):
+        d.push("drop", base)
