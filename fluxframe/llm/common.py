@@ -80,12 +80,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffled within is deleted from the executors' disks when it ends, not when the driver happens to
+    collect its garbage. The setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
     depth = 2 if lasting else 1
     if len(_scratch.open) >= depth:
         _scratch.open[-depth].append(path)

@@ -9,7 +9,7 @@ around the 32-gram, so that all windows of a part also share about half their by
 2. Equal contents are pre-aggregated: a content that occurs twice is a maximal repeat by itself, and is sent once.
 3. Groups of different contents have their bytes read again (named by a Bloom filter of fixed size), each content once.
    A group of more than `task_kinds` contents is split: its windows, by where they lie around the 32-gram, fall into
-   halves that share more bytes and so form finer groups of shorter contents, of which equal ones are joined again. This
+   quarters that share more bytes and so form finer groups of shorter contents, of which equal ones are joined again. This
    goes on until each piece fits a task, down to single windows at most, so no group is too large and none is left out.
 4. In each group, the suffixes that start a window form a suffix array, by prefix doubling over the windows' names, with
    the common prefixes of neighbours. (Windows are named by 128-bit hashes. Suffixes of different windows never share
@@ -39,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, settle, strings
+from .common import prepare, scratch, settle, strings
 from .shingles import BYTE, gathered, mix
 
 GRAM = 32
-SLICE = 1 << 18  # bytes that are placed together
+SLICE = 1 << 16  # bytes that are placed together
 PLACE_BITS = 21
 _rng = np.random.default_rng(400)
 LEVEL = _rng.integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +63,14 @@ class Params:
     bloom_bits: int = 25
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes whose high bits depend on all bits of h, which are hashes by multiplication; cheaper than mix."""
+    out = h >> np.uint64(32)
+    out ^= h
+    out *= np.uint64(0x9FB21C651E98DF25)
+    return out
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     if len(_powers.get(base, ())) < n:
@@ -96,31 +104,32 @@ def _parts(texts: list[bytes], p: Params):
     side = p.length // 2 - GRAM // 2  # 184 of 400: windows that begin so far before the 32-gram, or nearer
     for places, pieces in _blocks(texts, p.length):
         b = np.frombuffer(b"".join(pieces), np.uint8)
-        values = BYTES[b]
+        values = BYTES.take(b)
         h, size, eights = values, 1, None
         for level in range(5):
             h = h[:-size] * LEVEL[level] + h[size:]
             size *= 2
             if size == 8:
                 eights = h
-        key = (mix(h) & np.uint64(-1 << PLACE_BITS & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
-        w = p.length - GRAM + 1
-        windows = len(b) - p.length + 1
-        rows = -(-len(key) // w)
-        padded = np.full(rows * w, np.uint64(-1 & (1 << 64) - 1))
-        padded[: len(key)] = key
-        grid = padded.reshape(rows, w)
-        ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
-        behind = np.minimum.accumulate(grid, axis=1).ravel()[w - 1 : w - 1 + windows]
+        least = _spread(h) & np.uint64(-1 << PLACE_BITS & (1 << 64) - 1)
+        least |= np.arange(len(least), dtype=np.uint64)
+        # The least of each window's keys, by doubling; arrays of a slice stay in the processor's cache.
+        w, size = p.length - GRAM + 1, 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < w:
+            least = np.minimum(least[: size - w], least[w - size :])
+        least &= np.uint64((1 << PLACE_BITS) - 1)
+        least = least.view(np.int64)
         sizes = np.array([len(x) for x in pieces])
         starts = np.cumsum(sizes) - sizes
-        own = sizes - p.length + 1  # windows that do not leave their piece
-        at = np.arange(own.sum()) + np.repeat(starts - (np.cumsum(own) - own), own)
-        least = (np.minimum(ahead[at], behind[at]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        first = np.append(0, np.flatnonzero((least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)) + 1)
-        last = at[np.append(first[1:], len(at)) - 1]
+        for end in (starts + sizes).tolist():  # windows that leave their piece
+            least[end - p.length + 1 : end] = -1
+        change = np.flatnonzero(least[1:] != least[:-1]) + 1
+        first, last = np.append(0, change), np.append(change, len(least)) - 1
         gram = least[first]
-        first = at[first]
+        first, last, gram = (x[gram >= 0] for x in (first, last, gram))
         cut = gram - side
         begin = np.concatenate([first, np.maximum(first, cut + 1)])
         end = np.concatenate([np.minimum(last, cut), last])
@@ -183,12 +192,16 @@ def _known(filter_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _read_segments(keyed: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """g, c, anchor, data and wanted's other columns of the wanted (g, c), once each."""
-    shared = _bloom(wanted.select("g"), p.bloom_bits)
+    """g, c, anchor, data and wanted's other columns of the wanted (g, c), once each.
+
+    Each content is read from the row of its lowest key, so only the rows that are lowest of any content are hashed again.
+    """
+    shared, lowest = (_bloom(wanted.select(x), p.bloom_bits) for x in ("g", "low"))
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
+            b = b.filter(pa.array(_known(lowest.value, b.column(0).to_numpy(zero_copy_only=False), p.bloom_bits)))
             texts = _bytes(strings(b, "text"))
             for row, begin, n, g, anchor, c in _parts(texts, p):
                 hit = np.flatnonzero(_known(shared.value, g, p.bloom_bits))
@@ -203,7 +216,7 @@ def _read_segments(keyed: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
                     cols = list(zip(*out[i : i + 4096]))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["g", "c", "anchor", "data"])
 
-    found = keyed.select("text").mapInArrow(run, "g long, c long, anchor int, data binary")
+    found = keyed.select("key", "text").mapInArrow(run, "g long, c long, anchor int, data binary")
     return found.join(wanted, ["g", "c"]).dropDuplicates(["g", "c"])
 
 
@@ -407,24 +420,24 @@ def _whole(contents: DataFrame, p: Params) -> DataFrame:
 PIECE = "g long, c long, k long, low long, high long, anchor int, least int, span int, data binary"
 
 
-def _halves(pieces: DataFrame, p: Params) -> DataFrame:
-    """Both halves of each piece, by the distance of its windows' begins to the anchor, with the piece (pg, pc) and where
-    the half begins in it (shift)."""
+def _quarters(pieces: DataFrame, p: Params) -> DataFrame:
+    """The quarters of each piece, by the distance of its windows' begins to the anchor, with the piece (pg, pc) and where
+    the quarter begins in it (shift)."""
 
     def run(batches):
         for b in batches:
             out = []
             for g, c, k, low, high, anchor, least, span, data in zip(*[b.column(i).to_pylist() for i in range(9)]):
-                n, half = len(data) - p.length + 1, span // 2
-                for x in (least, least + half):
-                    # Windows at distances x to x + half - 1, as far as there are any, and the bytes that all such share.
-                    i0, i1 = max(0, anchor - x - half + 1), min(n - 1, anchor - x)
+                n, size = len(data) - p.length + 1, max(span // 4, 1)
+                for x in range(least, least + span, size):
+                    # Windows at distances x to x + size - 1, as far as there are any, and the bytes that all such share.
+                    i0, i1 = max(0, anchor - x - size + 1), min(n - 1, anchor - x)
                     if i0 > i1:
                         continue
                     part = data[i0 : i1 + p.length]
-                    h = xxhash.xxh3_64(data[anchor - x : anchor - x - half + 1 + p.length], seed=g & (1 << 64) - 1)
+                    h = xxhash.xxh3_64(data[anchor - x : anchor - x - size + 1 + p.length], seed=g & (1 << 64) - 1)
                     h.update(x.to_bytes(4, "little"))
-                    out.append((h.intdigest() - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), k, low, high, anchor - i0, x, half, part, g, c, i0))
+                    out.append((h.intdigest() - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), k, low, high, anchor - i0, x, size, part, g, c, i0))
             if out:
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["g", "c", "k", "low", "high", "anchor", "least", "span", "data", "pg", "pc", "shift"])
@@ -439,14 +452,14 @@ def _found(pieces: DataFrame, p: Params) -> DataFrame:
     large = pieces.where(F.col("kinds") > p.task_kinds)
     if large.isEmpty():
         return out
-    halves = settle(_halves(large, p))
+    quarters = settle(_quarters(large, p))
     same = [F.first(x).alias(x) for x in ("anchor", "least", "span", "data")]
-    contents = settle(halves.groupBy("g", "c").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"), *same))
+    contents = settle(quarters.groupBy("g", "c").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"), *same))
     sizes = contents.groupBy("g").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("low = high")).alias("some")).where("kinds > 1 AND some")
     smaller = settle(contents.join(sizes.select("g", "kinds"), "g"))
     windows = contents.withColumn("windows", F.octet_length("data") - (p.length - 1))
     inside = _whole(windows, p).union(_found(smaller, p))
-    back = halves.select("pg", "pc", "g", "c", "shift").join(inside, ["g", "c"])
+    back = quarters.select("pg", "pc", "g", "c", "shift").join(inside, ["g", "c"])
     return out.union(back.select(F.col("pg").alias("g"), F.col("pc").alias("c"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "shared").distinct())
 
 
@@ -458,9 +471,10 @@ def repeated(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def _repeated(keyed: DataFrame, p: Params) -> DataFrame:
-    parts = settle(_scan_parts(keyed, p))
-    twice = settle(parts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
-    hits = settle(parts.join(twice, "g", "left_semi"))
+    with scratch(keyed.sparkSession):
+        parts = settle(_scan_parts(keyed, p))
+        twice = settle(parts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"))
+        hits = settle(parts.join(twice, "g", "left_semi"), lasting=True)
     kinds = settle(hits.groupBy("g", "c").agg(F.count("*").alias("k"), F.min("windows").alias("windows"), F.min("key").alias("low"), F.max("key").alias("high")))
     open_ = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("low = high")).alias("some")).where("kinds > 1 AND some").select("g", "kinds")
     wanted = settle(kinds.join(settle(open_), "g").select("g", "c", "k", "low", "high", "kinds"))
@@ -512,11 +526,14 @@ def digest(docs: DataFrame, p: Params = Params()) -> DataFrame:
     row a row of docs."""
     prepare(docs.sparkSession)
     keyed = _keyed(docs)
-    passages = settle(_repeated(keyed, replace(p, length=p.passage)))
-    longer = _repeated(_candidates(keyed, passages, p), p)
-    # What is to be cut out, and passages in other documents.
-    cut = passages.select("doc_id", "key", F.filter("spans", lambda s: s["shared"]).alias("passages")).join(longer.withColumnsRenamed({"doc_id": "id2", "key": "key2"}), F.expr("key = key2 AND doc_id <=> id2"), "left")
-    cut = settle(cut.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "passages", F.filter("spans", lambda s: ~s["shared"]).alias("spans")))
+    spark = docs.sparkSession
+    with scratch(spark):  # each search leaves its spans only
+        with scratch(spark):
+            passages = settle(_repeated(keyed, replace(p, length=p.passage)), lasting=True)
+        longer = _repeated(_candidates(keyed, passages, p), p)
+        # What is to be cut out, and passages in other documents.
+        cut = passages.select("doc_id", "key", F.filter("spans", lambda s: s["shared"]).alias("passages")).join(longer.withColumnsRenamed({"doc_id": "id2", "key": "key2"}), F.expr("key = key2 AND doc_id <=> id2"), "left")
+        cut = settle(cut.select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "passages", F.filter("spans", lambda s: ~s["shared"]).alias("spans")), lasting=True)
     rows = keyed.join(cut, F.expr("key = key2 AND doc_id <=> id2"), "left").select("doc_id", "text", "spans", "passages")
     kind = rows.schema["doc_id"].dataType.simpleString()
 

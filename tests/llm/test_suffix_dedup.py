@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from fluxframe.llm import common
 from fluxframe.llm import suffix_dedup as S
 from fluxframe.llm.suffix_dedup import Params, maximal_repeats, merge
 
@@ -119,3 +121,19 @@ def test_maximal_repeats_equal_brute_force(texts):
             want[s] = sorted(at)
     got = {texts[w[0][0]][w[0][1] : w[0][1] + d]: sorted(w) for d, w in maximal_repeats(texts, length)}
     assert got == want
+
+
+def test_searches_leave_only_their_spans(spark, tmp_path, monkeypatch):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    known = shuffled()
+    out = S.digest(spark.createDataFrame(corpus(4), "doc_id long, text string"))
+    assert len(list(tmp_path.iterdir())) == 1  # the spans that the rows are cut by
+    until = time.monotonic() + 20
+    while len(shuffled() - known) > 50 and time.monotonic() < until:  # deletion runs beside
+        time.sleep(0.2)
+    assert len(shuffled() - known) <= 50
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(corpus(4))
