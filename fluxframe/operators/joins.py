@@ -36,14 +36,18 @@ def broadcast_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "inne
 
 
 def join_where(left: DataFrame, right: DataFrame, predicate: Column, how: str = "inner") -> DataFrame:
-    """By any predicate. Equalities in it become join keys; without any, use `range_join` for bounds on large inputs."""
+    """By any predicate. Equalities in it become join keys; without any, use `range_join` for bounds on large inputs.
+
+    Every pair is built: to count pairs between bounds, use `range_counts`.
+    """
     return left.join(right, predicate, how)
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """left.value within [right.low, right.high], as an equi-join on bins of this width.
 
-    A right row goes to each bin that it overlaps and a left row to one, so no pair is found twice.
+    A right row goes to each bin that it overlaps and a left row to one, so no pair is found twice. Every pair is built: to count
+    pairs, use `range_counts`.
     """
     b = "__bin"
     l = left.withColumn(b, F.floor(F.col(value) / F.lit(width)))
@@ -51,6 +55,60 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     return l.join(r, b).where(F.col(value).between(F.col(low), F.col(high))).drop(b)
 
 
+def _part(t: Column, cuts: Sequence) -> Column:
+    """The number of cuts below t, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    above = _part(t, cuts[mid + 1 :])
+    return F.when(t > F.lit(cuts[mid]), above + F.lit(mid + 1)).otherwise(_part(t, cuts[:mid]))
+
+
+def range_counts(left: DataFrame, right: DataFrame, value: str, low: str | None, high: str | None, group: Keys, by: Sequence[str] = (), closed: str = "both", name: str = "count") -> DataFrame:
+    """For each combination of right's `group` columns, its pairs with left.value between right.low and right.high and equal `by`, counted without being built; combinations without any are left out.
+
+    Either bound may be missing; closed: both, left, right, neither. Left rows are counted by value, bounds are sorted in
+    between, and running counts at both bounds are subtracted: work grows with the rows, not with the pairs. Values are cut
+    at approximate quantiles within `by` and the parts run in parallel; only one row a part goes through a window of its
+    `by`. Nulls match nothing, and NaN is the greatest value. Values are numbers or times.
+    """
+    if closed not in ("both", "left", "right", "neither"):
+        raise ValueError("closed is both, left, right or neither")
+    if low is None and high is None:
+        raise ValueError("a bound is needed")
+    group = [group] if isinstance(group, str) else list(group)
+    # A bound stands before (0) or after (2) the left rows (1) of its value. Without a high one, the order is descending.
+    place = lambda after: F.lit(2 if after else 0).alias("__place")
+    ends = []
+    if high is not None:
+        ends.append(F.struct(F.col(high).alias("__t"), place(closed in ("both", "right")), F.lit(1).alias("__sign")))
+        if low is not None:
+            ends.append(F.struct(F.col(low).alias("__t"), place(closed in ("right", "neither")), F.lit(-1).alias("__sign")))
+    else:
+        ends.append(F.struct(F.col(low).alias("__t"), place(closed in ("both", "left")), F.lit(1).alias("__sign")))
+    l, r = left.where(F.col(value).isNotNull()), right
+    for c in by:
+        l, r = l.where(F.col(c).isNotNull()), r.where(F.col(c).isNotNull())
+    if low is None or high is None:
+        r = r.where(F.col(low or high).isNotNull())
+    else:
+        r = r.where(F.col(low) <= F.col(high) if closed == "both" else F.col(low) < F.col(high))
+    bounds = r.select(*by, F.struct(*group).alias("__g"), F.inline(F.array(*ends)))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = l.select(F.col(value).alias("__t")).unionAll(bounds.select("__t")).select(F.percentile_approx("__t", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
+    counts = l.groupBy(*by, F.col(value).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    both = counts.withColumn("__place", F.lit(1)).unionByName(bounds, allowMissingColumns=True)
+    both = both.withColumn("__p", _part(F.col("__t"), sorted(set(cuts))))
+    t, p = F.col("__t"), F.col("__p")
+    w = Window.partitionBy(*by, "__p").orderBy(t if high is not None else t.desc(), "__place").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(p if high is not None else p.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = both.groupBy(*by, "__p").agg(F.sum("__n").alias("__n")).select(*by, "__p", F.sum("__n").over(ahead).alias("__carry"))
+    at = both.withColumn("__n", F.sum("__n").over(w)).where("__sign IS NOT NULL").join(carry, [*by, "__p"])
+    zero = F.lit(0)
+    found = F.sum(F.col("__sign") * (F.coalesce("__n", zero) + F.coalesce("__carry", zero))).alias(name)
+    return at.groupBy(*[F.col("__g")[c].alias(c) for c in group]).agg(found).where(F.col(name) > 0)
+
+
 def is_sorted(df: DataFrame, on: str, by: Sequence[str], row: str) -> bool:
     """Whether `on` never falls along `row` within each group."""
     w = Window.partitionBy(*by).orderBy(row)

@@ -41,3 +41,31 @@ def test_query(spark, sf, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def joined_rows(df):
+    """The most rows that any join of the executed plan has put out."""
+    df.collect()
+    seen, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        made = node.metrics().get("numOutputRows")
+        if "Join" in kind and made.isDefined():
+            seen = max(seen, made.get().value())
+    return seen
+
+
+@pytest.mark.parametrize("name", ["join_range"])
+def test_counts_build_no_pairs(spark, tmp_path, name):
+    spark.range(6000).selectExpr("id AS c_custkey", "cast(id % 2 AS int) AS c_nationkey", "cast(id % 60 AS double) AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(600).selectExpr("id AS s_suppkey", "cast(id % 2 AS int) AS s_nationkey", "cast(id % 60 AS double) - 0.5 AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert 0 < joined_rows(df) <= 2 * 6600
+    assert df.agg({df.columns[1]: "sum"}).first()[0] > 800_000

@@ -224,3 +224,31 @@ def test_bloom_rules_out_nothing_that_is_there(spark):
     filters = Q.bloom(df, F.col("part"), "id").cache()
     assert all(v // 20 in {r[0] for r in Q.may_hold(filters, v).collect()} for v in (0, 77, 199))
     assert Q.may_hold(filters, 10_000).count() <= 1
+
+
+@pytest.mark.parametrize("closed", ["both", "left", "right", "neither"])
+def test_range_counts_equal_counted_pairs(spark, closed):
+    rng = random.Random(9)
+    some = lambda: rng.choice([None, math.nan, math.inf, -0.0, *(i / 2 for i in range(-8, 9))])
+    a = spark.createDataFrame([(rng.choice([None, 1, 2]), some()) for _ in range(150)] + [(3, 1.0)] * 90, "k int, v double")
+    b = spark.createDataFrame([(rng.choice([None, *range(9)]), rng.choice([None, 1, 2, 3, 4]), some(), some()) for _ in range(150)], "g int, k int, lo double, hi double")
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    from_ = v >= lo if closed in ("both", "left") else v > lo
+    to = v <= hi if closed in ("both", "right") else v < hi
+    for low, high, cond in (("lo", "hi", from_ & to), ("lo", None, from_), (None, "hi", to)):
+        for by, same in ((["k"], F.col("a.k") == F.col("b.k")), ([], F.lit(True))):
+            want = J.join_where(a.alias("a"), b.alias("b"), same & cond).groupBy("g").count()
+            assert rows(J.range_counts(a, b, "v", low, high, "g", by, closed, "count")) == rows(want)
+    with pytest.raises(ValueError):
+        J.range_counts(a, b, "v", None, None, "g")
+    with pytest.raises(ValueError):
+        J.range_counts(a, b, "v", "lo", "hi", "g", closed="open")
+
+
+def test_range_counts_edges(spark):
+    a = spark.createDataFrame([(datetime(2024, 1, 1, h), "x") for h in range(9)], "v timestamp, k string")
+    b = spark.createDataFrame([(datetime(2024, 1, 1, 2), datetime(2024, 1, 1, 4), "p", 1), (datetime(2024, 1, 1, 4), datetime(2024, 1, 2), "p", 1), (datetime(2024, 1, 3), datetime(2024, 1, 4), "q", 1)], "lo timestamp, hi timestamp, g string, v int")
+    assert rows(J.range_counts(a, b, "v", "lo", "hi", ["g", "v"])) == [("p", 1, 8)]
+    assert rows(J.range_counts(a.where("false"), b, "v", "lo", "hi", "g")) == rows(J.range_counts(a, b.where("false"), "v", "lo", "hi", "g")) == []
+    whole = spark.createDataFrame([(i,) for i in range(5)], "v int")
+    assert rows(J.range_counts(whole, spark.createDataFrame([(0.5, 3.5)], "lo double, hi double"), "v", "lo", "hi", "lo")) == [(0.5, 3)]
